@@ -22,8 +22,43 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spindex.llm.simhash import hex_fingerprint, near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spindex.llm.decontamination import decontaminate, hit_words, is_contaminated
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text").withColumn("n_hit", hit_words(F.col("hit_spans")))
+    names = F.array_sort(F.transform("hit_items", lambda i: i.cast("string")))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", names), 256).alias("items_sha256"), is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+    )
+
+
+def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spindex.llm.transport_stream import ALIGN, read_transport_stream, to_transport_stream
+
+    read = read_transport_stream(to_transport_stream(table(spark, sf_dir, "documents")))
+    shown = ["program", "table_pid", "stream_pid", "stream_type", "packets", "units", "sync_errors", "counter_errors", "crc_errors", "broken_units"]
+    lists = {"pts_last": F.get("timestamps", F.size("timestamps") - 1), "random_access": F.concat_ws("/", F.col("random_access").cast("array<string>"))}
+    feature = F.concat_ws(";", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in shown], *[F.concat(F.lit(f"{k}="), v.cast("string")) for k, v in lists.items()])
+    return read.select(
+        "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring(F.col("payload"), -ALIGN, ALIGN)).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_simhash": op2_simhash,
+    "op7_decontamination": op7_decontamination,
+    "op10_transport_stream": op10_transport_stream,
 }
 
 ORACLE_SQL: dict[str, str] = {}
