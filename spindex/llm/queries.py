@@ -48,6 +48,13 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spindex.llm.html_extraction import extract_text
+
+    found = extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spindex.llm.secrets import KINDS, find_secrets, span_text
 
@@ -75,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
+    "op8_html_extraction": op8_html_extraction,
     "op9_secrets": op9_secrets,
     "op10_transport_stream": op10_transport_stream,
 }
