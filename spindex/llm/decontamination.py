@@ -247,23 +247,28 @@ def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(out)
 
 
-def remove_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+def remove_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", length_col: str = "n_chars", **options) -> DataFrame:
     """`docs` less those contaminated by coverage; hit spans are cut from the rest.
 
     A document with a hit word in twenty or more goes; in others the hit spans,
-    each at least one window long, are cut out of the text.  Columns stay as they
-    were; rows without a hit stay unchanged.
+    each at least one window long, are cut out of the text, and `length_col`, if
+    there is one of that name, gets the length left.  Columns stay as they were,
+    as do rows without a hit.
     """
     own = {"words_col": "__n_words", "spans_col": "__hit_spans", "items_col": "__hit_items"}
     found = decontaminate(docs, benchmark, text_col, **own, **options)
-    n_hit = hit_words(F.col("__hit_spans"))
-    kept = found.filter(~is_contaminated(n_hit, F.col("__n_words")) | F.col("__n_words").isNull())
+    kept = found.filter(~is_contaminated(hit_words(F.col("__hit_spans")), F.col("__n_words")))
+    columns = docs.columns
 
     def run(batches):
         for b in batches:
-            text, spans = b.column(text_col), b.column("__hit_spans").to_pylist()
+            new = {c: b.column(c) for c in columns}
+            spans = b.column("__hit_spans").to_pylist()
             if any(spans):
-                text = pa.array([without_spans(t.encode(), [(x["start"], x["end"]) for x in s]).decode() if s else t for t, s in zip(text.to_pylist(), spans)], text.type)
-            yield pa.RecordBatch.from_arrays([text if c == text_col else b.column(c) for c in docs.columns], schema=pa.schema([b.schema.field(c) for c in docs.columns]))
+                cut = [without_spans(t.encode(), [(x["start"], x["end"]) for x in s]).decode() if s else t for t, s in zip(new[text_col].to_pylist(), spans)]
+                new[text_col] = pa.array(cut, new[text_col].type)
+                if length_col in new:
+                    new[length_col] = pa.array([len(t) if s else n for t, s, n in zip(cut, spans, new[length_col].to_pylist())], new[length_col].type)
+            yield pa.RecordBatch.from_arrays(list(new.values()), schema=pa.schema([b.schema.field(c) for c in columns]))
 
     return kept.mapInArrow(run, docs.schema)
