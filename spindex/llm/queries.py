@@ -28,6 +28,23 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spindex.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text_digest", "license_id")
+
+
+def _op3_sql() -> str:
+    from spindex.llm.licenses import KNOWN, canonical_sql
+
+    values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in KNOWN.items())
+    known = f"SELECT sha256({canonical_sql('body')}) AS digest, min(id) AS license_id FROM (VALUES {values}) AS l(id, body) GROUP BY 1"
+    return (
+        f"WITH known AS ({known}), scanned AS (SELECT doc_id, sha256({canonical_sql('text')}) AS text_digest FROM documents) "
+        "SELECT doc_id, text_digest, license_id FROM scanned LEFT JOIN known ON text_digest = digest AND digest <> sha256('')"
+    )
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spindex.llm.language_id import identify_language, is_held_out, train
 
@@ -88,6 +105,7 @@ def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
+    "op3_licenses": op3_licenses,
     "op4_language_id": op4_language_id,
     "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
@@ -96,4 +114,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_transport_stream": op10_transport_stream,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Windows of 13 words, or whole shorter items, joined to the same windows of documents.
+_OP7_SQL = r"""
+WITH ascii_low AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS (SELECT doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM ascii_low),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT item_id, least(len(w), 13) AS n, unnest(list_transform(range(1, greatest(len(w) - 13, 0) + 2), lambda i: array_to_string(w[i:i + 12], ' '))) AS gram FROM b WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS gram FROM d, sizes WHERE len(w) >= n),
+m AS (SELECT DISTINCT doc_id, dw.n AS n, i, item_id FROM dw JOIN bw ON dw.gram = bw.gram AND dw.n = bw.n),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_licenses": _op3_sql(), "op7_decontamination": _OP7_SQL}
