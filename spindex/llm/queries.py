@@ -90,8 +90,12 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spindex.llm.secrets import KINDS, find_secrets, span_text
 
     found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    n = {k: F.size(F.filter("base_spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:-1])}
-    return found.select("doc_id", *n.values(), F.sha2(span_text(F.col("base_spans")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+    def count(kind: str):
+        place = KINDS.index(kind)
+        return F.size(F.filter("base_spans", lambda s: s["kind"] == place)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, KINDS[:-1]), F.sha2(span_text(F.col("base_spans")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
 
 
 def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
