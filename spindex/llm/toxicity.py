@@ -12,12 +12,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from spindex.llm.common import bounded_batches, hash_sample, written
 
 #: Hashed terms; terms that the machine weighs; factors of a term.
-SPACE, TERMS, FACTORS = 1 << 20, 1024, 8
+SPACE, TERMS, FACTORS = 1 << 20, 512, 8
 #: Labelled documents fitted at most, of either label.
 POSITIVE_ROWS, NEGATIVE_ROWS = 3_000, 5_000
 #: Stems by which inflected and compound words share terms, in bytes.
 STEMS = (4, 5, 6)
-STEPS, RATE, RIDGE = 120, 0.1, 5e-5
+STEPS, RATE, RIDGE = 120, 0.1, 1e-3
+#: A missed document of label 1 counts as so many of label 0 that are marked.
+MISS_COST = 3.0
 #: Words whose terms a worker remembers.
 REMEMBERED = 400_000
 
@@ -87,6 +89,7 @@ def fit(terms: list[int], rows: list[list[int]], labels: list[int], prior: float
     logit = math.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
     if not m or not len(y) or y.min() == y.max():
         return FactorizationMachine(places, logit, np.zeros(m), np.zeros((m, FACTORS)))
+    logit += math.log(MISS_COST)
     x = np.zeros((len(y), m), np.float32)
     for i, r in enumerate(rows):
         x[i, r] = 1
