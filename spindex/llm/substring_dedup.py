@@ -17,10 +17,13 @@ LEAST_WORDS, MOST_EDITS = 40, 0.2
 #: Gap cost of a word between two seeds, against 1 for a seed.
 GAP = 0.02
 #: Words read beyond a chain on either side, and words in one stored block.
-MARGIN, BLOCK = 16, 64
-#: Seeds linked within a task before any are shuffled; words aligned against how wide a band.
+MARGIN, BLOCK = 64, 64
+#: Extension: words skipped at once on either side, words that must be equal after that, and how far a score may fall.
+SKIP, RESUME, DROP = 3, 3, 8
+#: Seeds linked within a task before any are shuffled; diagonals aligned on either side of the straight one.
 _AT_ONCE, BAND = 1 << 20, 24
 REMEMBERED = 500_000
+_SKIPS = sorted((max(p, q), p, q) for p in range(SKIP + 1) for q in range(SKIP + 1) if p or q)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 SEEDS = "hash long, doc long, pos int, center long, center_pos int"
@@ -65,9 +68,19 @@ def minimizers(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def star(hash_: np.ndarray, doc: np.ndarray, pos: np.ndarray):
-    """Rows sorted by (hash, doc, pos): first of each hash, and the row's first."""
+    """Links of equal seeds, in rows sorted by (hash, doc, pos).
+
+    Places (row, partner): each row with the first of its hash and with the one
+    just before, where these are other documents'.  The second link keeps groups
+    together whose first member has lost some seeds to edits.
+    """
     first = np.r_[True, hash_[1:] != hash_[:-1]]
-    return first, np.flatnonzero(first)[np.cumsum(first) - 1]
+    center = np.flatnonzero(first)[np.cumsum(first) - 1]
+    row = np.arange(len(doc))
+    to_first = row[doc != doc[center]]
+    before = np.maximum(row - 1, 0)
+    to_before = row[~first & (doc != doc[before]) & (doc[before] != doc[center])]
+    return first, np.r_[to_first, to_before], np.r_[center[to_first], before[to_before]]
 
 
 def _rows(hash_, doc, pos, center, center_pos) -> pa.RecordBatch:
@@ -96,11 +109,10 @@ def local_seeds(docs: DataFrame) -> DataFrame:
             h, d, p = (np.concatenate(x) for x in zip(*held))
             order = np.lexsort((p, d, h))
             h, d, p = h[order], d[order], p[order]
-            first, to = star(h, d, p)
-            other = ~first & (d != d[to])
+            first, row, to = star(h, d, p)
             yield _rows(h[first], d[first], p[first], None, None)
-            if other.any():
-                yield _rows(None, d[other], p[other], d[to][other], p[to][other])
+            if len(row):
+                yield _rows(None, d[row], p[row], d[to], p[to])
 
         for b in batches:
             for doc, text in zip(b.column("doc").to_pylist(), bytes_of(b, "text")):
@@ -124,20 +136,21 @@ def shared_links(seeds: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        last = None  # hash, doc, pos of the group that goes on
+        gone_on = []  # first and last row of the group that may go on
         for b in batches:
-            h, d, p = b.column("hash").to_numpy(), b.column("doc").to_numpy(), b.column("pos").to_numpy()
+            h, d, p = (b.column(c).to_numpy() for c in ("hash", "doc", "pos"))
             if not len(h):
                 continue
-            first, to = star(h, d, p)
-            center, center_pos = d[to], p[to]
-            if last is not None and last[0] == h[0]:
-                same = to == 0
-                center, center_pos = np.where(same, last[1], center), np.where(same, last[2], center_pos)
-            other = d != center
-            if other.any():
-                yield _rows(None, d[other], p[other], center[other], center_pos[other])
-            last = (h[-1], center[-1], center_pos[-1])
+            gone_on = [r for r in gone_on if r[0] == h[0]]
+            n = len(gone_on)
+            if n:
+                h, d, p = (np.r_[np.array([r[i] for r in gone_on], x.dtype), x] for i, x in enumerate((h, d, p)))
+            first, row, to = star(h, d, p)
+            row, to = row[row >= n], to[row >= n]  # the earlier rows have had their links
+            if len(row):
+                yield _rows(None, d[row], p[row], d[to], p[to])
+            begin = int(np.flatnonzero(first)[-1])
+            gone_on = [(h[i], d[i], p[i]) for i in dict.fromkeys((begin, len(h) - 1))]
 
     return seeds.repartition("hash").sortWithinPartitions("hash", "doc", "pos").mapInArrow(run, SEEDS)
 
@@ -219,7 +232,7 @@ def chained(links: DataFrame, least: int) -> DataFrame:
                 continue
             for c in chains(x, y):
                 a, b = (x[c[0]], x[c[-1]] + SEED), (y[c[0]], y[c[-1]] + SEED)
-                if min(a[1] - a[0], b[1] - b[0]) + 2 * (WINDOW + SEED) >= least:
+                if min(a[1] - a[0], b[1] - b[0]) + 2 * MARGIN >= least:
                     out.append((doc, *a, center, *b, len(c)))
             if len(out) > 4096:
                 yield _table(out, _CHAIN_TYPES)
@@ -256,7 +269,7 @@ def word_blocks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc long, block int, words binary")
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray) -> int:
+def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Word edits between two sequences, within a band around the diagonal."""
     if len(a) > len(b):
         a, b = b, a
@@ -273,24 +286,39 @@ def edit_distance(a: np.ndarray, b: np.ndarray) -> int:
         row[low - 1] = i if low == 1 else far
         place = np.arange(low, high + 1)
         row[low : high + 1] = np.minimum.accumulate(np.r_[row[low - 1] - low, part - place - 1])[1:] + place + 1
-    return int(row[m])
+    return min(int(row[m]), most + 1)
+
+
+def extension(x: list[int], y: list[int]) -> tuple[int, int]:
+    """Words to take in from both sequences: the best prefix pair, an equal word
+    counting 1 and an edited one -2, until the score falls DROP below the best."""
+    i = j = score = best = 0
+    took = (0, 0)
+    while i < len(x) and j < len(y) and score > best - DROP:
+        if x[i] == y[j]:
+            i, j, score = i + 1, j + 1, score + 1
+            if score > best:
+                best, took = score, (i, j)
+            continue
+        for skip, p, q in _SKIPS:
+            ahead = x[i + p : i + p + RESUME]
+            if len(ahead) == RESUME and ahead == y[j + q : j + q + RESUME]:
+                i, j, score = i + p, j + q, score - 2 * skip
+                break
+        else:
+            break
+    return took
 
 
-def align(a: np.ndarray, b: np.ndarray, a_span: tuple[int, int], b_span: tuple[int, int]) -> tuple[int, int, int, int, int]:
+def align(a: np.ndarray, b: np.ndarray, a_span: tuple[int, int], b_span: tuple[int, int], most_edits: float) -> tuple[int, int, int, int, int]:
     """A chain's ends moved outwards over equal words; then (a0, a1, b0, b1, edits)."""
     a0, a1 = a_span
     b0, b1 = b_span
 
-    def reach(x: np.ndarray, y: np.ndarray) -> int:
-        """Words to take in: while equal words outweigh others two to one."""
-        n = min(len(x), len(y))
-        gain = np.cumsum(np.where(x[:n] == y[:n], 1, -2))
-        return int(gain.argmax()) + 1 if n and gain.max() > 0 else 0
-
-    more = reach(a[a1 : a1 + MARGIN], b[b1 : b1 + MARGIN])
-    less = reach(a[max(0, a0 - MARGIN) : a0][::-1], b[max(0, b0 - MARGIN) : b0][::-1])
-    a0, a1, b0, b1 = a0 - less, a1 + more, b0 - less, b1 + more
-    return a0, a1, b0, b1, edit_distance(a[a0:a1], b[b0:b1])
+    after = extension(a[a1 : a1 + MARGIN].tolist(), b[b1 : b1 + MARGIN].tolist())
+    before = extension(a[max(0, a0 - MARGIN) : a0][::-1].tolist(), b[max(0, b0 - MARGIN) : b0][::-1].tolist())
+    a0, a1, b0, b1 = a0 - before[0], a1 + after[0], b0 - before[1], b1 + after[1]
+    return a0, a1, b0, b1, edit_distance(a[a0:a1], b[b0:b1], int(most_edits * max(a1 - a0, b1 - b0)))
 
 
 def aligned(found: DataFrame, docs: DataFrame, least: int, most_edits: float) -> DataFrame:
@@ -319,7 +347,7 @@ def aligned(found: DataFrame, docs: DataFrame, least: int, most_edits: float) ->
                 continue
             a, b = (np.frombuffer(b"".join(s), "<u4") for s in sides)
             d0, d1, c0, c1, n = numbers
-            a0, a1, b0, b1, edits = align(a, b, (d0 - start[0], d1 - start[0]), (c0 - start[1], c1 - start[1]))
+            a0, a1, b0, b1, edits = align(a, b, (d0 - start[0], d1 - start[0]), (c0 - start[1], c1 - start[1]), most_edits)
             size = max(a1 - a0, b1 - b0)
             if min(a1 - a0, b1 - b0) >= least and edits <= most_edits * size:
                 out.append((ids[0], a0 + start[0], a1 + start[0], ids[1], b0 + start[1], b1 + start[1], n, edits, round(1 - edits / size, 4)))
