@@ -36,6 +36,7 @@ class Engine:
         self.spark = spark
         self.index = StoredIndex(spark, path, buckets)
         self.pending: list[str] = []
+        self.streams: list[StreamingQuery] = []
 
     def add_documents(self, docs: DataFrame, text_col: str | None = None, words_col: str | None = None, id_col: str = "doc_id", weight: int = DEFAULT_WEIGHT, on_duplicate: str = "merge") -> None:
         """Write documents; queries see them after `flush`.
@@ -63,10 +64,13 @@ class Engine:
             self.pending = []
 
     def compact(self, purge_before: int | None = None) -> None:
+        """Rewrite the index as one segment; see StoredIndex.compact."""
         self.index.compact(purge_before)
 
     def start_ingest(self, stream: DataFrame, checkpoint: str, **options) -> StreamingQuery:
-        return start_ingest(self.index, stream, checkpoint, **options)
+        """Ingest a stream into the index; see spindex.streaming.ingest."""
+        self.streams.append(start_ingest(self.index, stream, checkpoint, **options))
+        return self.streams[-1]
 
     def matches(self, query: str | Node, docID_start: int = 0, docID_stop: int = 0, universe: str = "docs", compat: bool = False) -> DataFrame:
         """(doc_id, relevance) of all matches."""
@@ -94,6 +98,6 @@ class Engine:
 
     def stop(self) -> None:
         """Stop the engine's streams and drop what was not flushed."""
-        for q in self.spark.streams.active:
+        for q in self.streams:
             q.stop()
-        self.pending = []
+        self.streams, self.pending = [], []

@@ -29,8 +29,10 @@ class StoredIndex:
     def _manifest(self) -> tuple[int, list[str]]:
         try:
             last = self.spark.read.schema(MANIFEST).json(f"{self.path}/manifest").orderBy(F.desc("version")).first()
-        except AnalysisException:  # nothing published yet
-            return 0, []
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return 0, []  # nothing published yet
         return (last["version"], list(last["segments"])) if last else (0, [])
 
     def segments(self) -> list[str]:
@@ -87,7 +89,11 @@ class StoredIndex:
         return found.drop("segment") if len(segments) == 1 else found.groupBy("doc_id").agg(F.min_by("doc_size", "segment").alias("doc_size"))
 
     def compact(self, purge_before: int | None = None) -> str | None:
-        """Rewrite all segments as one, without documents below `purge_before`."""
+        """Rewrite all segments as one, without documents below `purge_before`.
+
+        Segments published meanwhile stay beside it.  One writer at a time may
+        publish: two that do so at once may lose one's segments from the manifest.
+        """
         segments = self.segments()
         if not segments:
             return None
