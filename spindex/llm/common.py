@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from spindex.sources.folders import shared_dir
+
 #: Rows in one Arrow batch handed to Python; bounds a worker's memory by a few
 #: hundred texts, whatever the partition's size.
 BATCH_ROWS = 400
@@ -25,25 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Unset, a temporary folder is taken on a local master only: elsewhere such a
-    folder would exist on one machine.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.gettempdir() + "/spindex-checkpoints"
-    return base.rstrip("/")
-
-
 def written(df: DataFrame, what: str) -> DataFrame:
     """Cut lineage: write `df` to the shared folder and read it back.
 
     Parquet in the shared folder survives lost executors, is smaller than a
-    checkpoint of rows, and gives later plans real sizes.
+    checkpoint of rows, and gives later plans real sizes.  Such tables stay until
+    the folder is emptied.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spindex-{what}-{uuid.uuid4().hex}"
