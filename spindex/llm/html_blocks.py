@@ -15,11 +15,13 @@ CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section table ul".split())
 _SCOPE = frozenset("article aside blockquote body div dl fieldset figure footer form header html main menu nav ol section table ul".split())
 
+#: Attributes up to the tag's end; an unclosed quote runs to the end of the page.
+_ATTRS = r"(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    rf"|<(?P<raw>{'|'.join(RAW)})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
+    rf"|<(?P<raw>{'|'.join(RAW)})(?![a-zA-Z0-9:-]){_ATTRS}(?:/>|\Z|>.*?(?:</(?P=raw)\s*>|\Z))"
     r"|</(?P<end>[a-zA-Z][a-zA-Z0-9:-]*)[^>]*(?:>|\Z)"
-    r"|<(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
+    rf"|<(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{_ATTRS})(?:>|\Z)"
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
