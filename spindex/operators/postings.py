@@ -67,7 +67,8 @@ def scan(postings: DataFrame, words: list[str], doc_start: int = 0, doc_stop: in
     """
     out = postings
     if buckets and "bucket" in postings.columns:
-        out = out.filter(F.col("bucket").isin(bucket_numbers(postings.sparkSession, words, buckets)))
+        # literals once folded, so that partitions are pruned
+        out = out.filter(F.col("bucket").isin(*[bucket(F.lit(w), buckets) for w in words]))
     return in_range(out.filter(F.col("word").isin(words)), doc_start, doc_stop)
 
 
@@ -83,14 +84,6 @@ def bucket(word: Column, buckets: int) -> Column:
     return F.pmod(F.hash(word), F.lit(buckets))
 
 
-def bucket_numbers(spark, words: list[str], buckets: int) -> list[int]:
-    """The words' buckets, as literals, so that partitions are pruned."""
-    if not words:
-        return []
-    row = spark.range(1).select(F.array(*[bucket(F.lit(w), buckets) for w in words])).first()
-    return sorted(set(row[0]))
-
-
 def document_frequency(postings: DataFrame, words: list[str]) -> DataFrame:
     return scan(postings, words).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
 

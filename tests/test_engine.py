@@ -185,6 +185,8 @@ def test_engine(spark, tmp_path):
     assert scores(engine.matches("NOT cat")) == {4: 1.0}
     assert {r["word"]: r["df"] for r in engine.document_frequency(["cat", "dog"]).collect()} == {"cat": 4, "dog": 4}
     assert engine.max_document(["bird"]).first()["max_doc_id"] == 4
+    plan = engine.index.postings(["cat", "dog"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan and "hash(" not in plan.split("PartitionFilters")[1].split("]")[0] and "In(word, [cat,dog])" in plan
     before = scores(engine.matches('"cat dog" OR bird'))
     assert engine.check_integrity().count() == 0
     engine.compact()
