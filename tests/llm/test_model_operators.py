@@ -273,9 +273,9 @@ def test_stream_columns(spark):
 
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
-    rows, labels = toxic_rows(300)
+    rows, labels = toxic_rows(1400)
     bench = " ".join(f"b{i}" for i in range(40))
-    planted = [(1000, rows[5][1]), (1001, bench), (1002, LONG + " token=abcdef0123456789abcdef012345 end"), (1003, None), (1004, ""), (None, "without an id " * 5), (1003, None)]
+    planted = [(5000, rows[5][1]), (5001, bench), (5002, " ".join(f"long{i % 4999}" for i in range(12_000)) + " token=abcdef0123456789abcdef012345 end"), (5003, None), (5004, ""), (None, "without an id " * 5), (5003, None)]
     every = [(d, t, "en", None, len(t or "")) for d, t in rows + planted]
     spark.createDataFrame(every, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
@@ -288,10 +288,10 @@ def test_pipeline(spark, tmp_path):
         seen[name] = {r["doc_id"]: r["text"] for r in docs.collect()}
     toxic = {d for d, x in labels if x}
     assert len(toxic & set(seen["toxicity"])) < 0.1 * len(toxic) and len(set(seen["toxicity"]) - toxic) > 0.97 * (len(rows) - len(toxic))
-    assert 1000 not in seen["near_dedup"] or 5 not in seen["toxicity"]
-    assert {1003, 1004} & set(seen["near_dedup"]) == {1003} and None in seen["near_dedup"]
-    assert 1001 in seen["near_dedup"] and 1001 not in seen["decontamination"] and 1002 in seen["decontamination"]
-    assert "abcdef0123" not in seen["secrets"][1002] and seen["secrets"].keys() == seen["decontamination"].keys()
+    assert 5000 not in seen["near_dedup"] or 5 not in seen["toxicity"]
+    assert {5003, 5004} & set(seen["near_dedup"]) == {5003} and None in seen["near_dedup"]
+    assert 5001 in seen["near_dedup"] and 5001 not in seen["decontamination"] and 5002 in seen["decontamination"]
+    assert "abcdef0123" not in seen["secrets"][5002] and seen["secrets"].keys() == seen["decontamination"].keys()
     last = pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
     assert {r["doc_id"] for r in last.collect()} == set(seen["secrets"])
     assert {r["doc_id"] for r in pipeline.run(spark, str(tmp_path)).collect()} == set(seen["secrets"])
