@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -270,23 +272,35 @@ def word_blocks(docs: DataFrame) -> DataFrame:
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Word edits between two sequences, within a band around the diagonal."""
-    if len(a) > len(b):
-        a, b = b, a
-    if np.array_equal(a, b):
-        return 0
+    """Word edits between two sequences, or most + 1 if there are more.
+
+    Furthest-reaching points on BAND diagonals on either side: an edit more
+    moves each on by a word, and then over all equal words that follow.
+    """
     n, m = len(a), len(b)
-    band = BAND + m - n
-    far = 1 << 30
-    row = np.arange(m + 1)
-    row[band + 1 :] = far
-    for i in range(1, n + 1):
-        low, high = max(1, i - BAND), min(m, i + band)
-        part = np.minimum(row[low - 1 : high] + (b[low - 1 : high] != a[i - 1]), row[low : high + 1] + 1)
-        row[low - 1] = i if low == 1 else far
-        place = np.arange(low, high + 1)
-        row[low : high + 1] = np.minimum.accumulate(np.r_[row[low - 1] - low, part - place - 1])[1:] + place + 1
-    return min(int(row[m]), most + 1)
+    goal = m - n
+    unequal: dict[int, list[int]] = {}
+
+    def reach(k: int, i: int) -> int:
+        """From place i of `a` on diagonal k, the next place where the words differ or end."""
+        if k not in unequal:
+            first, last = max(0, -k), min(n, m - k)
+            unequal[k] = [*(np.flatnonzero(a[first:last] != b[first + k : last + k]) + first).tolist(), max(first, last)]
+        at = unequal[k]
+        return at[bisect_left(at, i)] if i <= at[-1] else at[-1]
+
+    low, high = min(0, goal) - BAND, max(0, goal) + BAND
+    far = {0: reach(0, 0)}
+    for edits in range(most + 1):
+        if far.get(goal, -1) >= n:
+            return edits
+        moved = {}
+        for k in range(max(low, -edits - 1, -n), min(high, edits + 1, m) + 1):
+            i = max(far.get(k, -2) + 1, far.get(k - 1, -1), far.get(k + 1, -2) + 1)
+            if i >= max(0, -k):
+                moved[k] = reach(k, i)
+        far = moved
+    return most + 1
 
 
 def extension(x: list[int], y: list[int]) -> tuple[int, int]:
