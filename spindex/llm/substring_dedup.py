@@ -29,7 +29,7 @@ _SKIPS = sorted((max(p, q), p, q) for p in range(SKIP + 1) for q in range(SKIP +
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 SEEDS = "hash long, doc long, pos int, center long, center_pos int"
-CHAINS = "doc long, d_from int, d_to int, center long, c_from int, c_to int, seeds int"
+CHAINS = "doc long, d_from int, d_to int, center long, c_from int, c_to int, seeds int, anchors binary"
 PASSAGES = "doc_id long, start long, end long, other_id long, other_start long, other_end long, seeds int, edits int, identity double"
 
 
@@ -235,7 +235,7 @@ def chained(links: DataFrame, least: int) -> DataFrame:
             for c in chains(x, y):
                 a, b = (x[c[0]], x[c[-1]] + SEED), (y[c[0]], y[c[-1]] + SEED)
                 if min(a[1] - a[0], b[1] - b[0]) + 2 * MARGIN >= least:
-                    out.append((doc, *a, center, *b, len(c)))
+                    out.append((doc, *a, center, *b, len(c), np.array([[x[k] for k in c], [y[k] for k in c]], "<i4").tobytes()))
             if len(out) > 4096:
                 yield _table(out, _CHAIN_TYPES)
                 out = []
@@ -246,7 +246,7 @@ def chained(links: DataFrame, least: int) -> DataFrame:
     return sorted_links.mapInArrow(run, CHAINS)
 
 
-_CHAIN_TYPES = pa.schema([("doc", pa.int64()), ("d_from", pa.int32()), ("d_to", pa.int32()), ("center", pa.int64()), ("c_from", pa.int32()), ("c_to", pa.int32()), ("seeds", pa.int32())])
+_CHAIN_TYPES = pa.schema([("doc", pa.int64()), ("d_from", pa.int32()), ("d_to", pa.int32()), ("center", pa.int64()), ("c_from", pa.int32()), ("c_to", pa.int32()), ("seeds", pa.int32()), ("anchors", pa.binary())])
 _PASSAGE_TYPES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("other_id", pa.int64()), ("other_start", pa.int64()), ("other_end", pa.int64()), ("seeds", pa.int32()), ("edits", pa.int32()), ("identity", pa.float64())])
 
 
@@ -324,47 +324,95 @@ def extension(x: list[int], y: list[int]) -> tuple[int, int]:
     return took
 
 
+def extensions(a: np.ndarray, b: np.ndarray, span: tuple[int, int, int, int]) -> tuple[tuple[int, int], tuple[int, int]]:
+    """Words to take in before and after a span (a0, a1, b0, b1)."""
+    a0, a1, b0, b1 = span
+    before = extension(a[max(0, a0 - MARGIN) : a0][::-1].tolist(), b[max(0, b0 - MARGIN) : b0][::-1].tolist())
+    return before, extension(a[a1 : a1 + MARGIN].tolist(), b[b1 : b1 + MARGIN].tolist())
+
+
 def align(a: np.ndarray, b: np.ndarray, a_span: tuple[int, int], b_span: tuple[int, int], most_edits: float) -> tuple[int, int, int, int, int]:
     """A chain's ends moved outwards over equal words; then (a0, a1, b0, b1, edits)."""
     a0, a1 = a_span
     b0, b1 = b_span
-
-    after = extension(a[a1 : a1 + MARGIN].tolist(), b[b1 : b1 + MARGIN].tolist())
-    before = extension(a[max(0, a0 - MARGIN) : a0][::-1].tolist(), b[max(0, b0 - MARGIN) : b0][::-1].tolist())
+    before, after = extensions(a, b, (a0, a1, b0, b1))
     a0, a1, b0, b1 = a0 - before[0], a1 + after[0], b0 - before[1], b1 + after[1]
     return a0, a1, b0, b1, edit_distance(a[a0:a1], b[b0:b1], int(most_edits * max(a1 - a0, b1 - b0)))
 
 
+def stretches(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, least: int, most_edits: float) -> list[tuple[int, int, int, int, int, int]]:
+    """(a0, a1, b0, b1, edits, seeds): passages of a chain that has too many edits as a whole.
+
+    Each gap between two anchors costs its edit distance.  Of the stretches of
+    the chain within `most_edits` that no longer one holds, so many are taken
+    that each anchor of any of them lies in one taken.
+    """
+    limit = int(most_edits * max(len(a), len(b))) + 1
+    over = np.maximum(0, SEED - np.minimum(np.diff(x), np.diff(y)))  # anchors may overlap
+    cost = [edit_distance(a[i:j], b[k:m], min(limit, max(j - i, m - k))) for i, j, k, m in zip((x[:-1] + SEED - over).tolist(), x[1:].tolist(), (y[:-1] + SEED - over).tolist(), y[1:].tolist())]
+    split = np.flatnonzero(cost)
+    first, last = np.r_[0, split + 1], np.r_[split, len(x) - 1]
+    total = np.r_[0, np.cumsum(cost)][first]
+    a_from, a_to, b_from, b_to = x[first], x[last] + SEED, y[first], y[last] + SEED
+    before, after = zip(*[extensions(a, b, span) for span in zip(a_from.tolist(), a_to.tolist(), b_from.tolist(), b_to.tolist())])
+    longest, reached = [], -1
+    for i in range(len(first)):
+        size = np.maximum(a_to[i:] - a_from[i], b_to[i:] - b_from[i])
+        j = i + int(np.flatnonzero(total[i:] - total[i] <= most_edits * size)[-1])
+        if j > reached:
+            reached = j
+            if min(a_to[j] - a_from[i] + before[i][0] + after[j][0], b_to[j] - b_from[i] + before[i][1] + after[j][1]) >= least:
+                longest.append((i, j))
+    out, covered = [], -1
+    for n, (i, j) in enumerate(longest):
+        start = max(i, covered + 1)
+        if n + 1 < len(longest) and longest[n + 1][0] <= start:
+            continue  # the next one holds `start` too and goes further
+        covered = j
+        for p, q in ((before[i], after[j]), (before[i], (0, 0)), ((0, 0), after[j]), ((0, 0), (0, 0))):
+            a0, a1, b0, b1 = (int(v) for v in (a_from[i] - p[0], a_to[j] + q[0], b_from[i] - p[1], b_to[j] + q[1]))
+            most = int(most_edits * max(a1 - a0, b1 - b0))
+            if min(a1 - a0, b1 - b0) >= least and (edits := edit_distance(a[a0:a1], b[b0:b1], most)) <= most:
+                out.append((a0, a1, b0, b1, edits, int(last[j] - first[i]) + 1))
+                break
+    return out
+
+
 def aligned(found: DataFrame, docs: DataFrame, least: int, most_edits: float) -> DataFrame:
     """PASSAGES of the chains, from the blocks of words that they touch."""
 
     def asked(doc: str, low: str, high: str, side: int) -> DataFrame:
-        first = F.greatest(F.col(low) - MARGIN, F.lit(0)) / BLOCK
-        return found.select("chain", F.lit(side).cast("int").alias("side"), F.col(doc).alias("doc"), F.explode(F.sequence(F.floor(first).cast("int"), F.floor((F.col(high) + MARGIN) / BLOCK).cast("int"))).alias("block"), *[F.lit(None).cast("int").alias(c) if side else F.col(c) for c in ("d_from", "d_to", "c_from", "c_to", "seeds")])
+        first = F.floor(F.greatest(F.col(low) - MARGIN, F.lit(0)) / BLOCK).cast("int")
+        last = F.floor((F.col(high) + MARGIN) / BLOCK).cast("int")
+        blocks = found.select("*", F.lit(side).cast("int").alias("side"), first.alias("first"), F.explode(F.sequence(first, last)).alias("block"))
+        anchors = F.when((F.lit(side) == 0) & (F.col("block") == F.col("first")), F.col("anchors"))  # once a chain
+        return blocks.select("chain", "side", F.col(doc).alias("doc"), "block", anchors.alias("anchors"))
 
     wanted = asked("doc", "d_from", "d_to", 0).unionByName(asked("center", "c_from", "c_to", 1))
-    met = wanted.join(word_blocks(docs), ["doc", "block"]).select("chain", "side", "block", "doc", "words", "d_from", "d_to", "c_from", "c_to", "seeds")
+    met = wanted.join(word_blocks(docs), ["doc", "block"]).select("chain", "side", "block", "doc", "words", "anchors")
 
     def run(batches):
         out: list[tuple] = []
-        for (chain,), parts in _groups(batches, ["chain"], ["side", "block", "doc", "words", "d_from", "d_to", "c_from", "c_to", "seeds"]):
+        for (chain,), parts in _groups(batches, ["chain"], ["side", "block", "doc", "words", "anchors"]):
             sides: list[list[bytes]] = [[], []]
-            start, ids, numbers = [0, 0], [0, 0], None
+            start, ids, anchors = [0, 0], [0, 0], None
             for part in parts:
-                for side, block, doc, words, *rest in zip(*part):
+                for side, block, doc, words, held in zip(*part):
                     if not sides[side]:
                         start[side], ids[side] = int(block) * BLOCK, int(doc)
                         if not side:
-                            numbers = [int(v) for v in rest]
+                            anchors = held
                     sides[side].append(words)
-            if numbers is None or not sides[1]:
+            if anchors is None or not sides[1]:
                 continue
             a, b = (np.frombuffer(b"".join(s), "<u4") for s in sides)
-            d0, d1, c0, c1, n = numbers
-            a0, a1, b0, b1, edits = align(a, b, (d0 - start[0], d1 - start[0]), (c0 - start[1], c1 - start[1]), most_edits)
-            size = max(a1 - a0, b1 - b0)
-            if min(a1 - a0, b1 - b0) >= least and edits <= most_edits * size:
-                out.append((ids[0], a0 + start[0], a1 + start[0], ids[1], b0 + start[1], b1 + start[1], n, edits, round(1 - edits / size, 4)))
+            x, y = np.frombuffer(anchors, "<i4").reshape(2, -1).astype(np.int64) - np.array(start)[:, None]
+            whole = align(a, b, (int(x[0]), int(x[-1]) + SEED), (int(y[0]), int(y[-1]) + SEED), most_edits)
+            size = max(whole[1] - whole[0], whole[3] - whole[2])
+            if min(whole[1] - whole[0], whole[3] - whole[2]) < least:
+                continue
+            for a0, a1, b0, b1, edits, n in [(*whole, len(x))] if whole[4] <= most_edits * size else stretches(a, b, x, y, least, most_edits):
+                out.append((ids[0], a0 + start[0], a1 + start[0], ids[1], b0 + start[1], b1 + start[1], n, edits, round(1 - edits / max(a1 - a0, b1 - b0), 4)))
             if len(out) > 4096:
                 yield _table(out, _PASSAGE_TYPES)
                 out = []
@@ -383,7 +431,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     within a task, then among tasks, not all pairs: passages that several
     documents share form one connected group of rows, about one for each
     document.  Links of a pair of documents become collinear chains, and chains
-    are aligned word by word.
+    are aligned word by word; a chain with too many edits gives its longest
+    stretches with few enough.
 
     Null, empty and short texts have no passages.  Rows without an id are left
     out; rows that repeat an id are one document, of which the longest text

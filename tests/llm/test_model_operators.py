@@ -233,6 +233,20 @@ def test_passages_odd_rows(spark):
     assert substring_dedup.repeated_passages(odd(spark, [])).count() == 0
 
 
+def test_passages_parted_by_other_words(spark):
+    rows, want, at = [], {}, 5000
+    for size, gaps in ((55, (30, 60, 100)), (80, (60, 200)), (120, (100, 300))):
+        for gap in gaps:
+            first, second = ([f"w{R.randrange(10**6)}" for _ in range(size)] for _ in range(2))
+            for d in (at, at + 1):
+                rows.append((d, " ".join([*first, *(f"g{R.randrange(10**6)}" for _ in range(gap)), *second])))
+            want[at + 1] = [(0, size), (size + gap, 2 * size + gap)]
+            at += 2
+    found = substring_dedup.repeated_passages(odd(spark, rows)).collect()
+    got = {d: sorted((r["start"], r["end"]) for r in found if r["doc_id"] == d and r["edits"] == 0) for d in want}
+    assert got == want and len(found) == 2 * len(want)
+
+
 # 10
 
 
