@@ -22,8 +22,10 @@ GAP = 0.02
 MARGIN, BLOCK = 64, 64
 #: Extension: words skipped at once on either side, words that must be equal after that, and how far a score may fall.
 SKIP, RESUME, DROP = 3, 3, 8
-#: Seeds linked within a task before any are shuffled; diagonals aligned on either side of the straight one.
-_AT_ONCE, BAND = 1 << 20, 24
+#: Seeds linked within a task before any are shuffled.
+_AT_ONCE = 1 << 20
+#: Edits sought diagonal by diagonal; more are sought on all diagonals at once, this many words ahead at most.
+FEW, _AHEAD = 24, 256
 REMEMBERED = 500_000
 _SKIPS = sorted((max(p, q), p, q) for p in range(SKIP + 1) for q in range(SKIP + 1) if p or q)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -274,11 +276,14 @@ def word_blocks(docs: DataFrame) -> DataFrame:
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Word edits between two sequences, or most + 1 if there are more.
 
-    Furthest-reaching points on BAND diagonals on either side: an edit more
-    moves each on by a word, and then over all equal words that follow.
+    Furthest-reaching points on diagonals: an edit more moves each on by a word,
+    and then over all equal words that follow.  No more diagonals than edits are
+    reached, so none is left out.
     """
     n, m = len(a), len(b)
     goal = m - n
+    if abs(goal) > most:
+        return most + 1
     unequal: dict[int, list[int]] = {}
 
     def reach(k: int, i: int) -> int:
@@ -289,17 +294,54 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
         at = unequal[k]
         return at[bisect_left(at, i)] if i <= at[-1] else at[-1]
 
-    low, high = min(0, goal) - BAND, max(0, goal) + BAND
     far = {0: reach(0, 0)}
-    for edits in range(most + 1):
+    for edits in range(min(most, FEW) + 1):
         if far.get(goal, -1) >= n:
             return edits
         moved = {}
-        for k in range(max(low, -edits - 1, -n), min(high, edits + 1, m) + 1):
+        for k in range(max(-edits - 1, -n), min(edits + 1, m) + 1):
             i = max(far.get(k, -2) + 1, far.get(k - 1, -1), far.get(k + 1, -2) + 1)
             if i >= max(0, -k):
                 moved[k] = reach(k, i)
         far = moved
+    return _many_edits(a, b, most) if most > FEW else most + 1
+
+
+def _many_edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    """The same for many edits, all diagonals of a step at once."""
+    n, m = len(a), len(b)
+    goal = m - n
+    _, same = np.unique(np.r_[a, b], return_inverse=True)
+    counts = [np.bincount(s, minlength=int(same.max()) + 1) for s in (same[:n], same[n:])]
+    if max(n, m) - int(np.minimum(*counts).sum()) > most:  # a word without a counterpart is an edit
+        return most + 1
+    ahead = np.arange(_AHEAD)
+    a, b = np.r_[same[:n], np.full(_AHEAD, -1)], np.r_[same[n:], np.full(_AHEAD, -2)]
+
+    def reach(k: np.ndarray, i: np.ndarray) -> np.ndarray:
+        going, width = np.arange(len(k)), 1
+        while len(going):
+            at = i[going, None] + ahead[:width]
+            differ = a[at] != b[at + k[going, None]]
+            ends = differ.any(1)
+            i[going] += np.where(ends, differ.argmax(1), width)
+            going, width = going[~ends], min(4 * width, _AHEAD)
+        return i
+
+    none = -n - m - 2
+    far = np.full(2 * most + 5, none)  # of diagonal k at k + zero
+    zero = most + 2
+    far[zero] = reach(np.zeros(1, int), np.zeros(1, int))[0]
+    for edits in range(most + 1):
+        if far[goal + zero] >= n:
+            return edits
+        left = most - edits - 1  # edits after the next one, to get to the last diagonal
+        k = np.arange(max(-edits - 1, -n, goal - left), min(edits + 1, m, goal + left) + 1)
+        at = k + zero
+        i = np.minimum(np.maximum(np.maximum(far[at] + 1, far[at - 1]), far[at + 1] + 1), np.minimum(n, m - k))
+        met = i >= np.maximum(0, -k)
+        far = np.full(len(far), none)
+        far[at[met]] = reach(k[met], i[met])
     return most + 1
 
 

@@ -173,6 +173,27 @@ def test_edit_distance():
         assert substring_dedup.edit_distance(a, b, 99) == want and substring_dedup.edit_distance(a, b, 3) == min(4, want)
 
 
+def test_edit_distance_of_many_edits():
+    r = np.random.default_rng(11)
+    for kinds in (1, 3, 40, 100_000):
+        for _ in range(15):
+            a = r.integers(0, kinds, r.integers(60, 200)).tolist()
+            b = list(a)
+            for _ in range(r.integers(1, 4)):
+                p, n = int(r.integers(0, len(b) + 1)), int(r.integers(0, 50))
+                b[p : p + n * int(r.integers(0, 2))] = r.integers(0, kinds, n * int(r.integers(0, 2))).tolist()
+            want, x, y = levenshtein(a, b), np.array(a, int), np.array(b, int)
+            for most in (500, want, max(0, want - 1), 30):
+                assert substring_dedup.edit_distance(x, y, most) == min(want, most + 1)
+
+
+def test_passage_with_a_paragraph_moved_out_and_another_put_in(spark):
+    words = [f"m{R.randrange(10**6)}" for _ in range(400)]
+    copy = words[:100] + [f"n{R.randrange(10**6)}" for _ in range(30)] + words[100:300] + words[330:]
+    found = substring_dedup.repeated_passages(odd(spark, [(6000, " ".join(words)), (6001, " ".join(copy))])).collect()
+    assert [(r["start"], r["end"], r["edits"]) for r in found] == [(0, 400, 60)]
+
+
 def test_best_chain_against_brute_force():
     import itertools
 
