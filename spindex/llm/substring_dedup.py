@@ -14,6 +14,8 @@ from spindex.llm.decontamination import words_of
 #: Words of a seed; a seed is kept if its hash is the least of WINDOW in a row, so
 #: that SEED + WINDOW - 1 equal words always share one.
 SEED, WINDOW = 5, 8
+#: Seeds in a row that are linked as one, too; 36 equal words hold two such runs.
+RUN = 3
 #: A passage: words on either side, share of them that may be edited.
 LEAST_WORDS, MOST_EDITS = 40, 0.2
 #: Gap cost of a word between two seeds, against 1 for a seed.
@@ -71,6 +73,27 @@ def minimizers(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return seed[at], at
 
 
+def _mixed(*parts) -> np.ndarray:
+    out = np.uint64(RUN)
+    for p in parts:
+        out = (out ^ p) * _MULTIPLIER
+        out ^= out >> np.uint64(31)
+    return out
+
+
+def seeds_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, position) of all that is linked in a word sequence: its minimizers,
+    and each RUN of them in a row, at its first.
+
+    Only holders of the whole run meet under its hash, whatever other documents
+    hold its seeds one by one.
+    """
+    seed, at = minimizers(h)
+    n = max(0, len(seed) - RUN + 1)
+    runs = _mixed(*(seed[j : j + n] for j in range(RUN)))
+    return np.r_[seed, runs], np.r_[at, at[:n]]
+
+
 def star(hash_: np.ndarray, doc: np.ndarray, pos: np.ndarray):
     """Links of equal seeds, in rows sorted by (hash, doc, pos).
 
@@ -116,11 +139,13 @@ def local_seeds(docs: DataFrame) -> DataFrame:
             first, row, to = star(h, d, p)
             yield _rows(h[first], d[first], p[first], None, None)
             if len(row):
+                _, once = np.unique(_mixed(*(v.astype(np.uint64) for v in (d[row], p[row], d[to], p[to]))), return_index=True)
+                row, to = row[once], to[once]  # a run's link may be a seed's
                 yield _rows(None, d[row], p[row], d[to], p[to])
 
         for b in batches:
             for doc, text in zip(b.column("doc").to_pylist(), bytes_of(b, "text")):
-                h, at = minimizers(hashes(words_of(text)))
+                h, at = seeds_of(hashes(words_of(text)))
                 if len(h):
                     held.append((h, np.full(len(h), doc, np.int64), at))
                     size += len(h)
@@ -231,7 +256,9 @@ def chained(links: DataFrame, least: int) -> DataFrame:
     def run(batches):
         out: list[tuple] = []
         for (doc, center), parts in _groups(batches, ["doc", "center"], ["pos", "center_pos"]):
-            x, y = (np.concatenate(c).tolist() for c in zip(*parts))
+            x, y = (np.concatenate(c) for c in zip(*parts))
+            once = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
+            x, y = x[once].tolist(), y[once].tolist()
             if len(x) < 2:
                 continue
             for c in chains(x, y):

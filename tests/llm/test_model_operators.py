@@ -268,6 +268,21 @@ def test_passages_parted_by_other_words(spark):
     assert got == want and len(found) == 2 * len(want)
 
 
+def test_passages_of_lines_that_others_hold_alone(spark):
+    rows, pairs, at = [], set(), 10_000
+    for lines, alone in ((2, 20), (2, 20), (2, 60), (3, 60)):
+        shared = [[f"l{R.randrange(10**6)}" for _ in range(26)] for _ in range(lines)]
+        held = [[line] for line in shared for _ in range(alone)] + [shared, shared]
+        R.shuffle(held)
+        for i, own in enumerate(held):
+            words = [[f"o{R.randrange(10**6)}" for _ in range(20)] for _ in range(2)]
+            rows.append((at + i, " ".join([*words[0], *sum(own, []), *words[1]])))
+        pairs.add((max(both := [at + i for i, own in enumerate(held) if own is shared or len(own) > 1]), min(both), 26 * lines))
+        at += 1000
+    found = substring_dedup.repeated_passages(odd(spark, rows)).collect()
+    assert {(r["doc_id"], r["other_id"], r["end"] - r["start"]) for r in found if r["edits"] == 0} == pairs
+
+
 # 10
 
 
