@@ -81,9 +81,27 @@ def _mixed(*parts) -> np.ndarray:
     return out
 
 
+def repeats(seed: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, position) of seeds that come again at equal distances, numbered.
+
+    The k-th seed of such a series has the distance and k in its hash, so that
+    periodic passages are linked place by place, not all to one place.
+    """
+    order = np.argsort(seed, kind="stable")
+    seed, at = seed[order], at[order]
+    same = seed[1:] == seed[:-1]
+    if not same.any():
+        return seed[:0], at[:0]
+    gap = np.where(same, np.diff(at), 0)
+    begins = np.r_[True, gap[1:] != gap[:-1]] | np.r_[True, ~same[:-1]]
+    place = np.arange(len(gap))
+    number = place - np.maximum.accumulate(np.where(begins, place, 0)) + 1
+    return _mixed(seed[1:][same], gap[same].astype(np.uint64), number[same].astype(np.uint64)), at[1:][same]
+
+
 def seeds_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, position) of all that is linked in a word sequence: its minimizers,
-    and each RUN of them in a row, at its first.
+    each RUN of them in a row, at its first, and series of equal ones.
 
     Only holders of the whole run meet under its hash, whatever other documents
     hold its seeds one by one.
@@ -91,7 +109,8 @@ def seeds_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     seed, at = minimizers(h)
     n = max(0, len(seed) - RUN + 1)
     runs = _mixed(*(seed[j : j + n] for j in range(RUN)))
-    return np.r_[seed, runs], np.r_[at, at[:n]]
+    again, again_at = repeats(seed, at)
+    return np.r_[seed, runs, again], np.r_[at, at[:n], again_at]
 
 
 def star(hash_: np.ndarray, doc: np.ndarray, pos: np.ndarray):

@@ -283,6 +283,32 @@ def test_passages_of_lines_that_others_hold_alone(spark):
     assert {(r["doc_id"], r["other_id"], r["end"] - r["start"]) for r in found if r["edits"] == 0} == pairs
 
 
+def test_periodic_passages(spark):
+    def own(n):
+        return [f"p{R.randrange(10**6)}" for _ in range(n)]
+
+    line = own(7)
+    kinds = {20_000: lambda n: ["of"] * (50 + n), 21_000: lambda n: own(10) + ["de"] * 10 + own(10) + ["de"] * 50, 22_000: lambda n: line * (8 + n), 23_000: lambda n: ["x", "y"] * (25 + n)}
+    rows = [(at + i, " ".join([*own(R.randrange(30)), *make(i % 3), *own(20)])) for at, make in kinds.items() for i in range(8)]
+    texts = {d: t.split() for d, t in rows}
+    found = substring_dedup.repeated_passages(odd(spark, rows).repartition(3)).collect()
+    group = {d: d for d in texts}
+    for r in found:
+        a, b = texts[r["doc_id"]][r["start"] : r["end"]], texts[r["other_id"]][r["other_start"] : r["other_end"]]
+        assert r["doc_id"] // 1000 == r["other_id"] // 1000 and min(len(a), len(b)) >= 40 and levenshtein(a, b) == r["edits"] <= 0.2 * max(len(a), len(b))
+        old, new = group[r["doc_id"]], group[r["other_id"]]
+        group = {d: new if g == old else g for d, g in group.items()}
+    assert len(set(group.values())) == len(kinds)
+
+
+def test_repeats():
+    seed, at = np.array([5, 5, 9, 5, 9, 5, 5], np.uint64), np.array([0, 3, 4, 6, 8, 20, 21])
+    hashes, places = substring_dedup.repeats(seed, at)
+    assert sorted(places.tolist()) == [3, 6, 8, 20, 21] and len(set(hashes.tolist())) == 5
+    moved, _ = substring_dedup.repeats(seed[:4], at[:4] + 100)
+    assert set(moved.tolist()) < set(hashes.tolist())
+
+
 # 10
 
 
