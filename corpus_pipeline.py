@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers as tokenizers
 from spindex.llm.common import table, written
 from spindex.llm.decontamination import remove_benchmark
+from spindex.llm.near_copies import drop_near_copies
 from spindex.llm.packing import pack
 from spindex.llm.secrets import redact_secrets
 from spindex.llm.simhash import keep_one
@@ -26,8 +27,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that of smallest id."""
-    return keep_one(docs)
+    """One document of each near-duplicate group, that of smallest id.
+
+    Equal and almost equal fingerprints go first; of the others, no two stay whose
+    5-word shingles are alike by 0.8 or more.
+    """
+    return drop_near_copies(written(keep_one(docs), "one_of_each"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

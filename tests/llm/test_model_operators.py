@@ -373,6 +373,31 @@ def test_pipeline(spark, tmp_path):
     assert {r["doc_id"] for r in pipeline.run(spark, str(tmp_path)).collect()} == set(seen["secrets"])
 
 
+def test_near_dedup_against_brute_force(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = []
+    for i in range(30):
+        words = [f"d{R.randrange(10**6)}" for _ in range(R.randint(60, 200))]
+        rows.append((30_000 + 10 * i, " ".join(words)))
+        for k in range(1, 4):
+            copy = list(words)
+            for _ in range(k):
+                copy[R.randrange(len(copy))] = f"d{R.randrange(10**6)}"
+            rows.append((30_000 + 10 * i + k, " ".join(copy)))
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    def near(a, b):
+        return len(a & b) >= 0.8 * len(a | b)
+
+    kept = {r["doc_id"] for r in pipeline.near_dedup(spark, odd(spark, rows), "").collect()}
+    sets = {d: shingles(t) for d, t in rows}
+    assert {30_000 + 10 * i for i in range(30)} <= kept
+    assert not any(near(sets[a], sets[b]) for a in kept for b in kept if a < b)
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
 @pytest.mark.parametrize("name", ["op3_licenses", "op7_decontamination"])
 def test_against_sql(spark, name):
