@@ -242,12 +242,3 @@ def test_integrity_finds_faults(spark):
 
 def test_flush_rule():
     assert not should_flush(166, 40) and should_flush(167, 0) is True and should_flush(0, 10_001) and should_flush(0, 0, forced=True)
-
-
-def test_library_works_without_llm():
-    import pathlib
-
-    root = pathlib.Path(__file__).resolve().parent.parent / "spindex"
-    for path in root.rglob("*.py"):
-        if "llm" not in path.relative_to(root).parts:
-            assert "spindex.llm" not in path.read_text(), path
