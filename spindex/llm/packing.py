@@ -34,110 +34,128 @@ def encoder(tokenizer: str, ranks: str, pattern: str) -> Callable[[str], bytes]:
     return lambda text: bpe.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
 
 
+#: Fill levels of a window, and what a cut adds to the sum of squares that a move is judged by.
+LEVELS, CUT_PRICE = 16, 1
+
+
 class SumOfSquares:
     """Online packing by the sum-of-squares rule over a level array.
 
-    count[h] is the number of partially filled windows at level h.  A piece of
-    size s goes to the level h, 0 meaning a new window, whose move to h + s
-    makes sum(count**2) smallest; levels 0 and `window` do not count.
+    count[h] is the number of partially filled windows at level h, a level being
+    1 / LEVELS of a window.  A piece may begin a window, go into an open one of
+    any level, or, where it is too large for that, fill it up and be cut there;
+    what is left of it then begins a window, as far as the choice goes.  The move
+    that makes sum(count**2), plus CUT_PRICE for a cut, smallest is taken; of
+    equal ones a new window before an open one, that before a cut, then the one
+    that leaves the fullest window, or the smallest rest.  A level is stood for
+    by the window put there last.  Counts at a level make a cut worth its price,
+    so few windows are open at any time, whatever the sizes.
     """
 
-    def __init__(self, window: int):
-        self.window = window
-        self.count = np.zeros(window + 1, np.int64)
-        self.at: list[list] = [[] for _ in range(window + 1)]
-
-    def place(self, size: int):
-        """The open window to extend, or None for a new one, and its level."""
-        if size >= self.window:
-            return None, 0
-        count, top = self.count, self.window - size
-        change = 2 * (count[size:] - count[: top + 1])  # of sum(count**2), less 2, by moving level h to h + size
-        change[count[: top + 1] == 0] = np.iinfo(np.int64).max
-        change[0] = 2 * count[size] - 1  # a new window
-        if count[top]:
-            change[top] -= 1  # a completed window no longer counts
-        level = int(change.argmin())
-        if not level:
-            return None, 0
-        count[level] -= 1
-        return self.at[level].pop(), level
-
-    def put(self, window, level: int) -> None:
-        if level < self.window:
-            self.count[level] += 1
-            self.at[level].append(window)
-
-    def open(self) -> Iterator:
-        for level in range(self.window, 0, -1):
-            yield from self.at[level]
-
-
-def pack_partition(docs: Iterator[tuple[int | None, bytes]], window: int, base: int, most_open: int) -> Iterator[tuple]:
+    def __init__(self, window: int, levels: int = LEVELS, cut_price: float = CUT_PRICE):
+        self.window, self.levels, self.cut_price = window, min(levels, window), cut_price
+        self.count = [0] * self.levels
+        self.at: list[list[tuple[int, list]]] = [[] for _ in range(self.levels)]
+
+    def level(self, fill: int) -> int:
+        return fill * self.levels // self.window
+
+    def choose(self, size: int) -> int | None:
+        """The level whose window takes a piece of `size`, or None for a new one."""
+        count, window = self.count, self.window
+        best, found = (2 * count[self.level(size)] + 1, 0, 0), None
+        for h, n in enumerate(count):
+            if not n:
+                continue
+            over = self.at[h][-1][0] + size - window
+            if over > 0:
+                left = self.level(over)
+                move = (1 - 2 * n + 2 * (count[left] - (left == h)) + 1 + self.cut_price, 2, over)
+            elif not over:
+                move = (1 - 2 * n, 1, 0)
+            else:
+                to = self.level(window + over)
+                move = (2 * (count[to] - n) + 2 if to != h else 0, 1, -over)
+            if move < best:
+                best, found = move, h
+        return found
+
+    def take(self, level: int) -> tuple[int, list]:
+        self.count[level] -= 1
+        return self.at[level].pop()
+
+    def put(self, fill: int, pieces: list) -> None:
+        level = self.level(fill)
+        self.count[level] += 1
+        self.at[level].append((fill, pieces))
+
+    def open(self) -> int:
+        return sum(self.count)
+
+    def emptiest(self) -> tuple[int, list]:
+        return self.take(next(h for h, n in enumerate(self.count) if n))
+
+
+def pack_partition(docs: Iterator[tuple[int | None, bytes]], window: int, base: int) -> Iterator[tuple]:
     """Pieces (doc_id, start, length, doc_tokens, sequence_id, offset, ids).
 
     Whole windows are cut from a document first; the rest is placed by the
-    sum-of-squares rule.  Windows still open at the end, or when there are over
-    `most_open`, are emptied into full windows by cutting; the last remainder
-    goes into windows filled to powers of two, which need no padding.
+    sum-of-squares rule.  At the end the pieces of the emptiest window are placed
+    again, by the same rule, until one is left open; that one is dealt to windows
+    filled to powers of two, which need no padding.
     """
-    rule, next_id, n_open = SumOfSquares(window), base, 0
+    rule, next_id = SumOfSquares(window), base
 
-    def rows(sequence: int, pieces: list[tuple]) -> Iterator[tuple]:
+    def rows(pieces: list[tuple]) -> Iterator[tuple]:
+        nonlocal next_id
         offset = 0
         for doc, start, total, ids in pieces:
-            yield doc, start, len(ids) // 4, total, sequence, offset, ids
+            yield doc, start, len(ids) // 4, total, next_id, offset, ids
             offset += len(ids) // 4
-
-    def emptied(last: bool) -> Iterator[tuple]:
-        nonlocal rule, next_id, n_open
-        pieces = [p for w in rule.open() for p in w]
-        rule, n_open = SumOfSquares(window), 0
-        left = sum(len(p[3]) for p in pieces) // 4
-        pieces.reverse()
-        while left:
-            if left < window and not last:
-                rule.put(pieces[::-1], left)
-                n_open = 1
-                return
-            room = window if left >= window else 1 << (left.bit_length() - 1)
-            left -= room
-            taken = []
-            while room:
-                doc, start, total, ids = pieces.pop()
-                n = min(room, len(ids) // 4)
-                taken.append((doc, start, total, ids[: 4 * n]))
-                if 4 * n < len(ids):
-                    pieces.append((doc, start + n, total, ids[4 * n :]))
-                room -= n
-            yield from rows(next_id, taken)
-            next_id += 1
+        next_id += 1
+
+    def placed(doc, start: int, total: int, ids: bytes, may_open: bool = True) -> Iterator[tuple]:
+        while ids:
+            size = len(ids) // 4
+            level = rule.choose(size)
+            if level is None and not may_open and rule.open():
+                level = max(h for h, n in enumerate(rule.count) if n)
+            fill, pieces = (0, []) if level is None else rule.take(level)
+            n = min(size, window - fill)
+            pieces.append((doc, start, total, ids[: 4 * n]))
+            if fill + n == window:
+                yield from rows(pieces)
+            else:
+                rule.put(fill + n, pieces)
+            start, ids = start + n, ids[4 * n :]
 
     for doc, ids in docs:
         total, start = len(ids) // 4, 0
         while total - start >= window:
-            yield from rows(next_id, [(doc, start, total, ids[4 * start : 4 * (start + window)])])
-            next_id += 1
+            yield from rows([(doc, start, total, ids[4 * start : 4 * (start + window)])])
             start += window
-        if start == total:
-            continue
-        found, level = rule.place(total - start)
-        n_open += found is None
-        found = found or []
-        found.append((doc, start, total, ids[4 * start :]))
-        level += total - start
-        if level == window:
-            yield from rows(next_id, found)
-            next_id += 1
-            n_open -= 1
-        else:
-            rule.put(found, level)
-        if n_open > most_open:
-            yield from emptied(False)
-    yield from emptied(True)
-
-
-def pack(docs: DataFrame, tokenizer: str, ranks: str, pattern: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", most_open: int = 4096) -> DataFrame:
+        yield from placed(doc, start, total, ids[4 * start :])
+    while rule.open() > 1:
+        _, pieces = rule.emptiest()
+        for piece in pieces:
+            yield from placed(*piece, may_open=False)
+    left, pieces = rule.emptiest() if rule.open() else (0, [])
+    pieces.reverse()
+    while left:
+        room = 1 << (left.bit_length() - 1)
+        left -= room
+        taken = []
+        while room:
+            doc, start, total, ids = pieces.pop()
+            n = min(room, len(ids) // 4)
+            taken.append((doc, start, total, ids[: 4 * n]))
+            if 4 * n < len(ids):
+                pieces.append((doc, start + n, total, ids[4 * n :]))
+            room -= n
+        yield from rows(taken)
+
+
+def pack(docs: DataFrame, tokenizer: str, ranks: str, pattern: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack every document of `docs` into windows of `window` tokens.
 
     One row for each piece: the document, where the piece starts in it, its
@@ -145,8 +163,8 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str, pattern: str, window: int
     place in it (offset), and the ids as little-endian uint32.  `tokenizer` is a
     byte-level BPE file of the tokenizers library, `ranks` and `pattern` the same
     vocabulary as ranks and its splitting pattern.  Every partition
-    packs its own stream without a shuffle and holds at most `most_open`
-    unfinished windows; a lost task packs the same rows again.
+    packs its own stream without a shuffle and holds a few unfinished windows; a
+    lost task packs the same rows again.
 
     Null text: an empty document (`end_id` alone).  Null ids stay null.
     Repeated rows are packed each.  An empty table gives no rows.  Other columns
@@ -165,7 +183,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str, pattern: str, window: int
 
         out = []
         size = 0
-        for row in pack_partition(stream(), window, TaskContext.get().partitionId() << 36, most_open):
+        for row in pack_partition(stream(), window, TaskContext.get().partitionId() << 36):
             out.append(row)
             size += len(row[6])
             if size >= 1 << 22:

@@ -58,35 +58,89 @@ def test_packing_round_trip(spark):
     assert padding == 0
 
 
-def test_sum_of_squares_takes_the_best_level():
-    r = np.random.default_rng(2)
-    rule = packing.SumOfSquares(16)
-    for size in r.integers(1, 16, 400).tolist():
-        count = rule.count.copy()
-
-        def after(level):
-            c = count.copy()
-            if level:
-                c[level] -= 1
-            if level + size < 16:
-                c[level + size] += 1
-            return int((c * c).sum())
-
-        best = min(after(h) for h in range(17 - size) if not h or count[h])
-        window, level = rule.place(size)
-        assert after(level) == best and (level == 0) == (window is None)
-        rule.put(window or [], level + size)
-
-
-def test_packing_empties_open_windows(spark):
-    docs = [(i, b"\1\0\0\0" * (3 + i % 7)) for i in range(200)]
-    rows = list(packing.pack_partition(iter(docs), 16, 0, most_open=2))
-    assert sum(r[2] for r in rows) == sum(len(x) // 4 for _, x in docs)
-    fill = collections.Counter()
-    for r in rows:
-        assert r[5] == fill[r[4]]
-        fill[r[4]] += r[2]
-    assert max(fill.values()) <= 16
+def naive_packer(docs, window, levels, cut_price):
+    """Windows of (doc, start, length), judging each move by the whole sum of squares after it."""
+    done, opened = [], []  # an open window: [fill, pieces], those put last at the end
+
+    def squares(fills):
+        return sum(n * n for n in collections.Counter(f * levels // window for f in fills).values())
+
+    def place(doc, start, size, may_open):
+        while size:
+            fills = [w[0] for w in opened]
+            moves = [((squares([*fills, size]), 0, 0), None)]
+            for h in range(levels):
+                at = [i for i, f in enumerate(fills) if f * levels // window == h]
+                if at:
+                    i = at[-1]
+                    to, others = fills[i] + size, fills[:i] + fills[i + 1 :]
+                    if to > window:
+                        moves.append(((squares([*others, to - window]) + cut_price, 2, to - window), i))
+                    else:
+                        moves.append(((squares(others + [to] * (to < window)), 1, window - to), i))
+            best = min(moves, key=lambda m: m[0])[1]
+            if best is None and opened and not may_open:
+                top = max(f * levels // window for f in fills)
+                best = max(i for i, f in enumerate(fills) if f * levels // window == top)
+            w = [0, []] if best is None else opened.pop(best)
+            n = min(size, window - w[0])
+            w[0] += n
+            w[1].append((doc, start, n))
+            (done if w[0] == window else opened).append(w)
+            start, size = start + n, size - n
+
+    for doc, size in docs:
+        start = size // window * window
+        done.extend([window, [(doc, at, window)]] for at in range(0, start, window))
+        place(doc, start, size - start, True)
+    ruled = len(done)
+    while len(opened) > 1:
+        low = min(w[0] * levels // window for w in opened)
+        i = max(i for i, w in enumerate(opened) if w[0] * levels // window == low)
+        for piece in opened.pop(i)[1]:
+            place(*piece, False)
+    return [w[1] for w in done], opened, ruled
+
+
+@pytest.mark.parametrize("window,levels", [(16, 16), (60, 16), (256, 16)])
+def test_packing_against_a_naive_packer(window, levels):
+    r = random.Random(window)
+    for n in (0, 1, 2, 40, 300):
+        docs = [(i, r.choice([1, 3, r.randint(1, window), r.randint(1, 3 * window)])) for i in range(n)]
+        windows = collections.defaultdict(list)
+        for doc, start, length, total, sequence, offset, ids in packing.pack_partition(((d, b"abcd" * size) for d, size in docs), window, 0):
+            assert total == docs[doc][1] and len(ids) == 4 * length and offset == sum(p[2] for p in windows[sequence])
+            windows[sequence].append((doc, start, length))
+        want, last, _ = naive_packer(docs, window, levels, packing.CUT_PRICE)
+        got = list(windows.values())
+        assert got[: len(want)] == want
+        left = sum(w[0] for w in last)
+        assert [sum(p[2] for p in w) for w in got[len(want) :]] == [1 << k for k in range(left.bit_length() - 1, -1, -1) if left >> k & 1]
+
+
+def test_packing_completes_windows_by_the_rule_and_holds_few():
+    r = random.Random(3)
+    for sizes in ([300 + i % 7 for i in range(4000)], [1500] * 4000, [int(r.lognormvariate(6.2, 1)) + 1 for _ in range(4000)]):
+        docs, most = [(i, s) for i, s in enumerate(sizes)], 0
+
+        def watched():
+            nonlocal most
+            for d, s in docs:
+                yield d, b"abcd" * s
+                most = max(most, sum(rules[0].count))
+
+        rules, made = [], packing.SumOfSquares
+
+        def kept(window):
+            rules.append(made(window))
+            return rules[0]
+
+        packing.SumOfSquares = kept
+        try:
+            rows = sum(1 for _ in packing.pack_partition(watched(), 2048, 0))
+        finally:
+            packing.SumOfSquares = made
+        assert rows and most <= 4 * packing.LEVELS
 
 
 def test_packing_empty(spark):
