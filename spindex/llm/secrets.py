@@ -6,6 +6,7 @@ Only DataFrame functions: the scan stays in the JVM.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -73,6 +74,11 @@ def ordinary_words(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     return some.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0))).alias("text"), F.lit(False).alias("secret"))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often it is named there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def train(samples: DataFrame) -> list[float]:
     """log P(next | character, random) - log P(next | character, ordinary), WIDTH by WIDTH.
 
@@ -80,7 +86,8 @@ def train(samples: DataFrame) -> list[float]:
     alphabet.  The counts are aggregated; WIDTH * WIDTH * 2 numbers at most
     reach the driver.
     """
-    pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("text") - 1), lambda i: F.substring(F.col("text"), i, F.lit(2))))
+    starts = F.sequence(F.lit(1), F.octet_length("text") - 1)
+    pair = F.explode(_let(F.col("text").cast("binary"), lambda b: F.transform(starts, lambda i: F.substring(b, i, F.lit(2)).cast("string"))))
     counted = samples.filter(F.length("text") > 1).select(pair.alias("pair"), "secret").groupBy("pair", "secret").count()
     counts = {True: {}, False: {}}
     alphabet = {chr(c) for c in range(FIRST, FIRST + WIDTH)}
@@ -95,7 +102,51 @@ def train(samples: DataFrame) -> list[float]:
     return [round(logs[True][a + b] - logs[False][a + b], 3) for a in map(chr, range(FIRST, FIRST + WIDTH)) for b in map(chr, range(FIRST, FIRST + WIDTH))]
 
 
-def _located(text: Column, kind: str, pattern: str, group: int, keep) -> Column:
+#: Elements of an array walked at once.
+_BLOCK = 64
+_SPANS = "array<struct<start:int,kind:int,end:int>>"
+
+
+def _none() -> Column:
+    return F.array().cast(_SPANS)
+
+
+def _span(start: Column, kind: Column, end: Column) -> Column:
+    return F.struct(start.cast("int").alias("start"), kind.cast("int").alias("kind"), end.cast("int").alias("end"))
+
+
+def _walk(items: Column, step: Callable[[Column, Column], tuple[Column, Column, Column]]) -> Column:
+    """The spans that `step` gives over an array, in order.
+
+    step(at, item) gives the next `at`, an int that is 0 first, a span, and
+    whether the span counts.  An array that grows is copied at every step, so the
+    array is walked in blocks: once for `at` at the begin of each, and then each
+    for its spans.  Work and memory stay near the number of items, whatever that is.
+    """
+
+    def moved(at: Column, item: Column) -> Column:
+        return step(at, item)[0].cast("int")
+
+    def gathered(acc: Column, item: Column) -> Column:
+        at, span, counts = step(acc["at"], item)
+        return F.struct(at.cast("int").alias("at"), F.when(counts, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+
+    def over(blocks: Column) -> Column:
+        begins = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, block: F.concat(acc, F.array(F.aggregate(block, F.element_at(acc, -1), moved))))
+
+        def spans(begin: Column) -> Column:
+            return F.transform(blocks, lambda block, i: F.aggregate(block, F.struct(F.get(begin, i).alias("at"), _none().alias("spans")), gathered, lambda acc: acc["spans"]))
+
+        return F.flatten(_let(begins, spans))
+
+    def walked(held: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), ((F.size(held) - 1) / _BLOCK).cast("int")), lambda b: F.slice(held, b * _BLOCK + 1, _BLOCK))
+        return F.when(F.size(held) > 0, _let(blocks, over)).otherwise(_none())
+
+    return _let(items, walked)
+
+
+def _located(text: Column, kind: str, pattern: str, group: int, keep: Callable[[Column], Column]) -> Column:
     """Spans of the pattern's matches that `keep` accepts, in code points.
 
     The text split at the matches gives what stands between them, so a running
@@ -105,18 +156,13 @@ def _located(text: Column, kind: str, pattern: str, group: int, keep) -> Column:
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     judged = whole if not group else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     parts = F.arrays_zip(between.alias("between"), whole.alias("whole"), judged.alias("judged"))
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    order = F.lit(KINDS.index(kind))
 
-    def step(acc: Column, part: Column) -> Column:
-        start = acc["at"] + F.length(part["between"])
+    def step(at: Column, part: Column) -> tuple[Column, Column, Column]:
+        start = at + F.length(part["between"])
         end = start + F.coalesce(F.length(part["whole"]), F.lit(0))
-        span = F.array(F.struct(start.alias("start"), order.alias("kind"), end.alias("end")))
-        good = part["whole"].isNotNull() & keep(part["judged"])
-        return F.struct(end.alias("at"), F.when(good, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+        return end, _span(start, F.lit(KINDS.index(kind)), end), part["whole"].isNotNull() & keep(part["judged"])
 
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
-    return F.when(text.rlike(pattern), found).otherwise(empty)
+    return F.when(text.rlike(pattern), _walk(parts, step)).otherwise(_none())
 
 
 def base_spans(text: Column) -> Column:
@@ -129,24 +175,44 @@ def base_spans(text: Column) -> Column:
 
 
 def ratio(candidate: Column, model: Column) -> Column:
-    """Log-likelihood ratio of a string: above zero, random is likelier."""
+    """Log-likelihood ratio of a string of the alphabet: above zero, random is likelier."""
+
+    def summed(b: Column) -> Column:
+        def place(i: Column) -> Column:
+            return F.ascii(F.substring(b, i, F.lit(1)).cast("string")) - FIRST
 
-    def place(i: Column) -> Column:
-        return F.ascii(F.substring(candidate, i, F.lit(1))) - FIRST
+        steps = F.sequence(F.lit(1), F.octet_length(b) - 1)
+        return F.aggregate(steps, F.lit(0.0), lambda acc, i: acc + F.element_at(model, place(i) * WIDTH + place(i + 1) + 1))
 
-    steps = F.sequence(F.lit(1), F.length(candidate) - 1)
-    return F.aggregate(steps, F.lit(0.0), lambda acc, i: acc + F.element_at(model, place(i) * WIDTH + place(i + 1) + 1))
+    return _let(candidate.cast("binary"), summed)  # a byte is found in one step, a character is not
 
 
 def markov_spans(text: Column, model: list[float]) -> Column:
     """Array of (start, kind, end) of runs that look random to the models."""
     table = F.split(F.lit(",".join(map(str, model))), ",").cast("array<double>")
+    return _located(F.coalesce(text, F.lit("")), "markov", CANDIDATE, 0, lambda x: ratio(x, table) >= F.greatest(F.lit(LEAST_RATIO), LEAST_MEAN * (F.length(x) - 1)))
 
-    def keep(x: Column) -> Column:
-        r = ratio(x, table)
-        return (r >= LEAST_RATIO) & (r >= LEAST_MEAN * (F.length(x) - 1))
 
-    return _located(F.coalesce(text, F.lit("")), "markov", CANDIDATE, 0, keep)
+def with_others(base: Column, others: Column) -> Column:
+    """Base spans and those others that meet none of them, by start, then kind.
+
+    Both are sorted and the others lie apart, so in one pass over all of them an
+    other span meets a base span if one before it ends later than it starts, or
+    the very next span is a base span within it.
+    """
+    other = F.lit(len(BASE))
+
+    def met(every: Column) -> Column:
+        def step(until: Column, item: Column) -> tuple[Column, Column, Column]:
+            span, after = item["span"], item["after"]
+            is_base = span["kind"] < other
+            inside = F.coalesce((after["kind"] < other) & (after["start"] < span["end"]), F.lit(False))
+            return F.when(is_base, F.greatest(until, span["end"])).otherwise(until), span, is_base | ~((until > span["start"]) | inside)
+
+        return _walk(F.arrays_zip(every.alias("span"), F.slice(every, 2, F.size(every)).alias("after")), step)
+
+    both = _let(F.array_sort(F.concat(base, others)), met)
+    return F.when(F.size(others) == 0, base).when(F.size(base) == 0, others).otherwise(both)
 
 
 def find_secrets(docs: DataFrame, model: list[float] | None = None, text_col: str = "text", id_col: str = "doc_id", base_col: str = "base_spans", spans_col: str = "spans") -> DataFrame:
@@ -166,9 +232,7 @@ def find_secrets(docs: DataFrame, model: list[float] | None = None, text_col: st
     kept = docs.drop(base_col, spans_col)
     text = F.col(f"`{text_col}`")
     with_base = kept.withColumn(base_col, base_spans(text)).withColumn(spans_col, markov_spans(text, model))
-    base = F.col(f"`{base_col}`")
-    more = F.filter(F.col(f"`{spans_col}`"), lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return with_base.withColumn(spans_col, F.array_sort(F.concat(base, more)))
+    return with_base.withColumn(spans_col, with_others(F.col(f"`{base_col}`"), F.col(f"`{spans_col}`")))
 
 
 def span_text(spans: Column) -> Column:
@@ -179,16 +243,17 @@ def span_text(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column, mask: str = "<secret>") -> Column:
     """The text with each run of overlapping spans replaced by `mask`."""
+    end = F.length(text)
+    kept = _walk(F.concat(spans, F.array(_span(end, F.lit(0), end))), lambda at, s: (F.greatest(at, s["end"]), _span(at, F.lit(0), s["start"]), s["start"] >= at))
+
+    def cut(points: Column) -> Column:
+        def piece(p: Column) -> Column:  # a mark of the order of bytes goes before it, lest one in the text be taken for it
+            own = F.substring(points, p["start"] * 4 + 1, (p["end"] - p["start"]) * 4)
+            return F.decode(F.concat(F.unhex(F.lit("0000FEFF")), own), "UTF-32")
 
-    def step(acc: Column, s: Column) -> Column:
-        apart = s["start"] >= acc["at"]
-        between = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"), F.when(apart, F.concat(acc["done"], between, F.lit(mask))).otherwise(acc["done"]).alias("done")
-        )
+        return F.array_join(F.transform(kept, piece), mask)
 
-    cut = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("done")), step, lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, cut).otherwise(text)
+    return F.when(F.size(spans) > 0, _let(F.encode(text, "UTF-32"), cut)).otherwise(text)
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", model: list[float] | None = None, length_col: str | None = "n_chars") -> DataFrame:
@@ -198,7 +263,9 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     masked text's length where something was masked.
     """
     found = find_secrets(docs, model, text_col, id_col, "__base_spans", "__spans")
-    spans, text = F.col("__spans"), F.col(f"`{text_col}`")
+    spans = F.col("__spans")
+    found = found.withColumn("__masked", redacted(F.col(f"`{text_col}`"), spans))
+    new = {text_col: F.col("__masked")}
     if length_col in docs.columns:
-        found = found.withColumn(length_col, F.when(F.size(spans) > 0, F.length(redacted(text, spans)).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
-    return found.withColumn(text_col, redacted(text, spans)).select(*[F.col(f"`{c}`") for c in docs.columns])
+        new[length_col] = F.when(F.size(spans) > 0, F.length("__masked").cast(docs.schema[length_col].dataType)).otherwise(F.col(f"`{length_col}`"))
+    return found.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])

@@ -360,6 +360,64 @@ def test_redaction(spark, model):
     assert out[33]["text"] == "<secret> " * 300 and all(out[d]["text"] == t for d, t in ODD)
 
 
+def naive_ratio(x, model):
+    return sum(model[(ord(a) - secrets.FIRST) * secrets.WIDTH + ord(b) - secrets.FIRST] for a, b in zip(x, x[1:]))
+
+
+def naive_spans(text, model):
+    base, more = base_spans(text), []
+    for m in re.finditer(secrets.CANDIDATE, text):
+        r = naive_ratio(m[0], model)
+        if r >= secrets.LEAST_RATIO and r >= secrets.LEAST_MEAN * (len(m[0]) - 1) and not any(a < m.end() and m.start() < b for a, _, b in base):
+            more.append((m.start(), 3, m.end()))
+    return sorted(base + more)
+
+
+def naive_redacted(text, spans):
+    out, at = [], 0
+    for a, _, b in spans:
+        if a >= at:
+            out += [text[at:a], "<secret>"]
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
+def secret_rows(n):
+    """Texts of words, secrets and signs in any order, next to each other and apart."""
+    made = lambda k, own: "".join(R.choice(own) for _ in range(k))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
+    parts = [lambda: made(R.randint(15, 60), letters), lambda: made(R.randint(20, 40), "0123456789abcdef"), lambda: "AKIA" + made(R.randint(8, 24), letters[:26]), lambda: R.choice(["token=", "Secret : ", "api_key='"]), lambda: R.choice(VOCABULARY), lambda: R.choice(["é", "𝄞", "\ufeff", " ", " ", ".", "\n", ", "])]
+    return [(100 + i, "".join(R.choice(parts)() for _ in range(R.choice([3, 40, 900])))) for i in range(n)]
+
+
+def test_all_spans_and_masks_against_brute_force(spark, model):
+    rows = SECRETS + secret_rows(60)
+    found = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"), model)
+    several = 0
+    for r in found.withColumn("masked", secrets.redacted(F.col("text"), F.col("spans"))).collect():
+        want = naive_spans(r["text"] or "", model)
+        assert [tuple(s) for s in r["spans"]] == want
+        assert r["masked"] == (naive_redacted(r["text"], want) if want else r["text"])
+        several += sum(k == 3 for _, k, _ in want)
+    assert several > 100
+
+
+@pytest.mark.parametrize("kind", ["run", "matches", "mixed"])
+def test_secrets_of_long_texts_take_seconds(spark, model, kind):
+    import time
+
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    run = "".join(R.choices(letters, k=1_000_000))
+    texts = {"run": run, "matches": "token=abcdef " * 100_000, "mixed": " ".join(run[i : i + 30] + (" secret=" + run[i : i + 9]) * (i // 30 % 2) for i in range(0, 900_000, 30))}
+    df = spark.createDataFrame([(1, texts[kind])], "doc_id long, text string")
+    began = time.perf_counter()
+    found = secrets.find_secrets(df, model)
+    r = found.select(F.size("base_spans").alias("base"), F.size("spans").alias("every"), F.length(secrets.redacted(F.col("text"), F.col("spans"))).alias("left")).first()
+    took = time.perf_counter() - began
+    assert r["base"] == {"run": 0, "matches": 100_000, "mixed": 15_000}[kind] and r["every"] > 0 and r["left"] < len(texts[kind])
+    assert took < 40, took
+
+
 def test_secrets_stay_in_the_jvm(spark, model):
     plan = secrets.find_secrets(odd(spark, SECRETS), model)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
