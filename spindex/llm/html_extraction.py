@@ -3,34 +3,34 @@
 from __future__ import annotations
 
 import functools
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from spindex.llm.common import bounded_batches
-from spindex.llm.html_blocks import Block, blocks
+from spindex.llm.html_blocks import Block, Element, blocks
 from spindex.llm.labelled_pages import MAIN, labelled_pages
 
 #: Labelled pages fitted, steps and rates of the fit.
-PAGES, STEPS, RATE, RIDGE = 900, 120, 0.1, 1e-3
-Path = tuple[tuple[str, tuple[str, ...]], ...]
-#: Ancestor paths whose scores a worker remembers.
-REMEMBERED = 50_000
+PAGES, STEPS, RATE, RIDGE = 1200, 120, 0.1, 1e-3
 
 
-def path_features(path: Path) -> list[str]:
-    """Tags and name words of the ancestors, and of the nearest ones."""
-    out = {"own:" + (path[-1][0] if path else "")}
-    for tag, names in path:
-        out.add("tag:" + tag)
-        out.update("name:" + w for w in names)
-    for tag, names in path[-1:]:
-        out.update("own-name:" + w for w in names)
-    if len(path) > 1:
-        out.add("up:" + path[-2][0])
-    return sorted(out)
+def nearest_features(at: Element | None) -> list[str]:
+    """Tag and name words of the element around a block, and the tag of that around it."""
+    if at is None:
+        return ["own:"]
+    return ["own:" + at.tag, *["own-name:" + w for w in at.names], *(["up:" + at.up.tag] if at.up else [])]
+
+
+def path_features(at: Element | None) -> list[str]:
+    """Those, and tags and name words of all elements around, each once."""
+    out = nearest_features(at)
+    while at is not None:
+        out += at.fresh
+        at = at.up
+    return out
 
 
 def text_features(b: Block) -> list[str]:
@@ -58,31 +58,41 @@ class Crf:
     step: list[list[float]]
     first: list[float]
     last: list[float]
-    paths: dict[Path, tuple[float, float]] = field(default_factory=dict)
-
-    def _sum(self, features: list[str]) -> tuple[float, float]:
-        known = [self.weights[f] for f in features if f in self.weights]
-        return sum(w[0] for w in known), sum(w[1] for w in known)
 
-    def emission(self, b: Block) -> tuple[float, float]:
-        found = self.paths.get(b.path)
-        if found is None:
-            if len(self.paths) >= REMEMBERED:
-                self.paths.clear()
-            found = self.paths[b.path] = self._sum(path_features(b.path))
-        text = self._sum(text_features(b))
-        return found[0] + text[0], found[1] + text[1]
+    def _sum(self, features, start: tuple[float, float] = (0.0, 0.0)) -> tuple[float, float]:
+        x, y = start
+        for f in features:
+            if (w := self.weights.get(f)) is not None:
+                x, y = x + w[0], y + w[1]
+        return x, y
+
+    def _around(self, at: Element | None, scores: dict[Element, tuple[float, float]]) -> tuple[float, float]:
+        """Score of the features of all elements around, each element's from that around it."""
+        new = []
+        while at is not None and at not in scores:
+            new.append(at)
+            at = at.up
+        found = scores[at] if at is not None else (0.0, 0.0)
+        for e in reversed(new):
+            found = scores[e] = self._sum(e.fresh, found)
+        return found
+
+    def emission(self, b: Block, scores: dict[Element, tuple[float, float]] | None = None) -> tuple[float, float]:
+        """Scores of a block by label; `scores` keeps those of the page's elements."""
+        around = self._around(b.at, {} if scores is None else scores)
+        return self._sum(text_features(b), self._sum(nearest_features(b.at), around))
 
     def decode(self, page: list[Block]) -> list[int]:
         """Viterbi: the labels of the best path."""
         if not page:
             return []
         (aa, ab), (ba, bb) = self.step
-        x, y = self.emission(page[0])
+        scores: dict[Element, tuple[float, float]] = {}
+        x, y = self.emission(page[0], scores)
         x, y = x + self.first[0], y + self.first[1]
         back = []
         for b in page[1:]:
-            e, f = self.emission(b)
+            e, f = self.emission(b, scores)
             from_x, from_y = x + aa >= y + ba, x + ab > y + bb
             back.append((0 if from_x else 1, 0 if from_y else 1))
             x, y = e + (x + aa if from_x else y + ba), f + (x + ab if from_y else y + bb)
@@ -106,7 +116,7 @@ def fit(pages: list[tuple[list[Block], list[int]]]) -> Crf:
     ids, owner, labels, length = [], [], [], []
     for found, label in pages:
         for b in found:
-            own = [names.setdefault(f, len(names)) for f in path_features(b.path) + text_features(b)]
+            own = [names.setdefault(f, len(names)) for f in path_features(b.at) + text_features(b)]
             ids += own
             owner += [len(labels)] * len(own)
             labels += [0]

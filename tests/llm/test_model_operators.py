@@ -110,15 +110,6 @@ def test_extraction():
     assert html_extraction.main_text(PAGE, model) == "A title\nFirst line & more.\nSecond paragraph is linked here, and goes on.\nThird one <tag>."
 
 
-def test_extraction_accuracy_on_other_pages():
-    model = html_extraction.default_model()
-    wrong = total = 0
-    for found, labels in html_extraction.parsed(labelled_pages.labelled_pages(150, seed=77)):
-        wrong += sum(a != b for a, b in zip(model.decode(found), labels))
-        total += len(labels)
-    assert wrong / total < 0.01
-
-
 def test_viterbi_against_all_paths():
     import itertools
 
