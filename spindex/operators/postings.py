@@ -8,55 +8,69 @@ from spindex.functions.text import tokens
 from spindex.schema import DEFAULT_WEIGHT, MAX_WEIGHT, WORD_LENGTH
 
 
-def text_hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weight: int = DEFAULT_WEIGHT) -> DataFrame:
-    """(word, doc_id, pos, weight, doc_size) of every token; no shuffle."""
+def _own(docs: DataFrame, id_col: str, by_document: bool, *columns: Column) -> DataFrame:
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), *columns)
+    return own.repartition("doc_id") if by_document else own
+
+
+def text_hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weight: int = DEFAULT_WEIGHT, by_document: bool = False) -> DataFrame:
+    """(word, doc_id, pos, weight, doc_size) of every token.
+
+    With `by_document` the texts are dealt by id first: postings are then built
+    where the tokens are, and no token is shuffled.
+    """
     if not 0 <= weight <= MAX_WEIGHT:
         raise ValueError(f"a weight of 0 to {MAX_WEIGHT}, not {weight}")
-    words = docs.select(F.col(id_col).cast("long").alias("doc_id"), tokens(F.col(text_col)).alias("words"))
+    words = _own(docs, id_col, by_document, F.col(text_col).alias("text")).select("doc_id", tokens(F.col("text")).alias("words"))
     sized = words.withColumn("doc_size", F.size("words").cast("long") * weight)
     return sized.select("doc_id", "doc_size", F.posexplode("words").alias("pos", "word")).select("word", "doc_id", "pos", F.lit(weight).cast("short").alias("weight"), "doc_size")
 
 
-def weighted_hits(docs: DataFrame, id_col: str = "doc_id", words_col: str = "words") -> DataFrame:
+def weighted_hits(docs: DataFrame, id_col: str = "doc_id", words_col: str = "words", by_document: bool = False) -> DataFrame:
     """The same from ARRAY<STRUCT<word, weight>>; a null weight is the default one.
 
     A word or weight out of range fails the query that reads it.
     """
     item = F.col("item")
-    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(words_col), F.array().cast(docs.schema[words_col].dataType)).alias("words"))
+    given = F.coalesce(F.col("words"), F.array().cast(docs.schema[words_col].dataType))
     weight = lambda x: F.coalesce(x["weight"].cast("long"), F.lit(DEFAULT_WEIGHT).cast("long"))
-    sized = sized.withColumn("doc_size", F.aggregate("words", F.lit(0).cast("long"), lambda n, x: n + weight(x)))
+    own = _own(docs, id_col, by_document, F.col(words_col).alias("words"))
+    sized = own.select("doc_id", given.alias("words"), F.aggregate(given, F.lit(0).cast("long"), lambda n, x: n + weight(x)).alias("doc_size"))
     rows = sized.select("doc_id", "doc_size", F.posexplode("words").alias("pos", "item"))
     good = item["word"].isNotNull() & (F.length(item["word"]) < WORD_LENGTH) & (F.length(item["word"]) > 0) & ~item["word"].contains("/") & weight(item).between(0, MAX_WEIGHT)
     word = F.when(good, item["word"]).otherwise(F.raise_error(F.concat(F.lit("not a weighted word: "), F.to_json(item))))
     return rows.select(word.alias("word"), "doc_id", "pos", weight(item).cast("short").alias("weight"), "doc_size")
 
 
-def documents(hits_or_postings: DataFrame) -> DataFrame:
+def documents(postings: DataFrame) -> DataFrame:
     """(doc_id, doc_size), each document once."""
-    return hits_or_postings.groupBy("doc_id").agg(F.max("doc_size").alias("doc_size"))
+    return postings.groupBy("doc_id").agg(F.max("doc_size").alias("doc_size"))
 
 
 def text_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weight: int = DEFAULT_WEIGHT) -> DataFrame:
     """The same from texts, without their words being shuffled; without tokens, no document."""
     sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.size(tokens(F.col(text_col))).cast("long") * weight).alias("doc_size"))
-    return sized.filter("doc_size > 0").groupBy("doc_id").agg(F.max("doc_size").alias("doc_size"))
+    return documents(sized.filter("doc_size > 0"))
+
+
+def _bag(hits: Column) -> Column:
+    return F.sort_array(hits).cast("array<struct<pos:int,weight:smallint>>").alias("hits")
 
 
 def build_postings(hits: DataFrame) -> DataFrame:
-    """One row for each word and document, with its hits in order of position."""
-    return hits.groupBy("word", "doc_id").agg(
-        F.max("doc_size").alias("doc_size"), F.count(F.lit(1)).cast("int").alias("tf"), F.sum(F.col("weight").cast("long")).alias("sum_w"),
-        F.array_sort(F.collect_list(F.struct("pos", "weight"))).cast("array<struct<pos:int,weight:smallint>>").alias("hits"),
+    """One row for each document and word, with its hits in order of position.
+
+    Hits dealt by document are grouped where they are.
+    """
+    return hits.groupBy("doc_id", "word").agg(
+        F.max("doc_size").alias("doc_size"), F.count(F.lit(1)).cast("int").alias("tf"), F.sum(F.col("weight").cast("long")).alias("sum_w"), _bag(F.collect_list(F.struct("pos", "weight")))
     )
 
 
 def merge_postings(batches: DataFrame, order_col: str) -> DataFrame:
     """Postings of several batches as one: hits in one bag, the oldest size."""
-    hits = F.flatten(F.collect_list("hits"))
     return batches.groupBy("word", "doc_id").agg(
-        F.min_by("doc_size", order_col).alias("doc_size"), F.sum("tf").cast("int").alias("tf"), F.sum("sum_w").alias("sum_w"),
-        F.array_sort(hits).cast("array<struct<pos:int,weight:smallint>>").alias("hits"),
+        F.min_by("doc_size", order_col).alias("doc_size"), F.sum("tf").cast("int").alias("tf"), F.sum("sum_w").alias("sum_w"), _bag(F.flatten(F.collect_list("hits")))
     )
 
 

@@ -12,14 +12,18 @@ def rounded(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.round("relevance", DECIMALS).alias("relevance"))
 
 
+def check_page(size: int, start: int) -> None:
+    if size < 0 or start < 0:
+        raise ValueError("size and start are 0 or more")
+
+
 def top(found: DataFrame, size: int, start: int = 0) -> DataFrame:
     """(rank, doc_id, relevance) of `size` documents after the best `start`.
 
     Documents of no relevance are left out; of equal ones the larger id comes
     first.  Only size + start rows of each task meet.
     """
-    if size < 0 or start < 0:
-        raise ValueError("size and start are 0 or more")
+    check_page(size, start)
     best = rounded(found.filter("relevance > 0")).orderBy(F.desc("relevance"), F.desc("doc_id")).limit(start + size)
     rank = F.row_number().over(Window.orderBy(F.desc("relevance"), F.desc("doc_id")))  # over start + size rows
     return best.select(rank.alias("rank"), "doc_id", "relevance").filter(F.col("rank") > start)

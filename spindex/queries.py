@@ -29,14 +29,15 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _hits(spark: SparkSession, sf_dir: str, words: list[str] | None = None) -> DataFrame:
-    hits = P.text_hits(_documents(spark, sf_dir))
-    return hits if words is None else hits.filter(F.col("word").isin(words))
+def _postings(spark: SparkSession, sf_dir: str, only: list[str] | None = None) -> DataFrame:
+    """All postings, or those of some words, whose hits alone are shuffled then."""
+    docs = _documents(spark, sf_dir)
+    return P.build_postings(P.text_hits(docs, by_document=True) if only is None else P.text_hits(docs).filter(F.col("word").isin(only)))
 
 
 def _found(spark: SparkSession, sf_dir: str, node: Node, **options) -> DataFrame:
     docs = P.text_documents(_documents(spark, sf_dir)) if node.matches_nothing_present() else None
-    return evaluate(node, P.build_postings(_hits(spark, sf_dir, node.words())), docs, **options)
+    return evaluate(node, _postings(spark, sf_dir, node.words()), docs, **options)
 
 
 def _add(name: str, run: Query, sql: str) -> None:
@@ -99,7 +100,7 @@ def _top(inner: str, size: int, start: int = 0) -> str:
 
 
 # Tokens, documents and postings.
-_add("tokenize_hits", lambda s, d: _hits(s, d).select("word", "doc_id", "pos", F.col("weight").cast("int").alias("weight"), "doc_size"), f"{TOK} SELECT word, doc_id, pos, 10 AS weight, doc_size FROM tok JOIN ds USING (doc_id)")
+_add("tokenize_hits", lambda s, d: P.text_hits(_documents(s, d)).select("word", "doc_id", "pos", F.col("weight").cast("int").alias("weight"), "doc_size"), f"{TOK} SELECT word, doc_id, pos, 10 AS weight, doc_size FROM tok JOIN ds USING (doc_id)")
 _add("docs_size", lambda s, d: P.text_documents(_documents(s, d)), f"{TOK} SELECT doc_id, doc_size FROM ds")
 
 
@@ -109,10 +110,27 @@ def _hit_text(postings: DataFrame) -> DataFrame:
 
 
 _POSTINGS_SQL = f"{TOK} SELECT word, doc_id, doc_size, count(*) AS tf, CAST(10 * count(*) AS BIGINT) AS sum_w, string_agg(pos || ':10', ' ' ORDER BY pos) AS hit_list FROM tok JOIN ds USING (doc_id) GROUP BY word, doc_id, doc_size"
-_add("postings_build", lambda s, d: _hit_text(P.build_postings(_hits(s, d))), _POSTINGS_SQL)
-_add("word_df", lambda s, d: P.document_frequency(P.build_postings(_hits(s, d)), ["the", "of", "de"]), f"{TOK} SELECT word, count(*) AS df FROM kw WHERE word IN ('the', 'of', 'de') GROUP BY word")
-_add("word_max_doc", lambda s, d: P.max_document(P.build_postings(_hits(s, d)), ["the", "of", "de"]), f"{TOK} SELECT word, max(doc_id) AS max_doc_id FROM kw WHERE word IN ('the', 'of', 'de') GROUP BY word")
-_add("integrity_violations", lambda s, d: P.integrity_violations(P.build_postings(_hits(s, d))), "SELECT '' AS word, CAST(0 AS BIGINT) AS doc_id, '' AS problem WHERE false")
+_add("postings_build", lambda s, d: _hit_text(_postings(s, d)), _POSTINGS_SQL)
+_add("word_df", lambda s, d: P.document_frequency(_postings(s, d), ["the", "of", "de"]), f"{TOK} SELECT word, count(*) AS df FROM kw WHERE word IN ('the', 'of', 'de') GROUP BY word")
+_add("word_max_doc", lambda s, d: P.max_document(_postings(s, d), ["the", "of", "de"]), f"{TOK} SELECT word, max(doc_id) AS max_doc_id FROM kw WHERE word IN ('the', 'of', 'de') GROUP BY word")
+
+
+def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings with a fault in most of them, by the id's remainder by 7."""
+    good, kind = _postings(spark, sf_dir), F.pmod("doc_id", F.lit(7))
+    bad = good.withColumns({
+        "tf": F.when(kind == 0, F.col("tf") + 1).otherwise(F.col("tf")), "sum_w": F.when(kind == 1, F.col("sum_w") + 1).otherwise(F.col("sum_w")),
+        "hits": F.when(kind == 2, F.reverse("hits")).otherwise(F.col("hits")), "doc_size": F.when(kind == 3, F.col("sum_w") - 1).otherwise(F.col("doc_size")),
+    })
+    return P.integrity_violations(bad.unionByName(good.filter(kind == 4)))
+
+
+_add(
+    "integrity_violations", _planted,
+    f"{TOK}, p AS (SELECT word, doc_id, tf, doc_size, doc_id % 7 AS kind FROM kw) SELECT word, doc_id, 'tf differs' AS problem FROM p WHERE kind = 0 "
+    "UNION ALL SELECT word, doc_id, 'sum_w differs' FROM p WHERE kind = 1 UNION ALL SELECT word, doc_id, 'size below weights' FROM p WHERE kind = 3 OR kind = 1 AND doc_size < 10 * tf + 1 "
+    "UNION ALL SELECT word, doc_id, 'hits out of order' FROM p WHERE kind = 2 AND tf > 1 UNION ALL SELECT word, doc_id, 'twice' FROM p WHERE kind = 4",
+)
 
 # Trees.
 _node("kw_score", Kw("the"), _kw("the"))
@@ -131,6 +149,8 @@ _node("exact_or_child", Exact((Or(Kw("of"), Kw("in")), Kw("the"))), _exact("of|i
 _node("exact_repeat", Exact((Kw("the"), Kw("the"))), _exact("the", "the"))
 _node("approx2", Approx((Kw(RARE[0]), Kw(RARE[1]))), _approx(*RARE[:2]))
 _node("approx3", Approx(tuple(map(Kw, RARE))), _approx(*RARE))
+_node("approx_frequent", Approx((Kw("of"), Kw("the"))), _approx("of", "the"))
+_node("dict_tree", Node.from_dict({"and": [{"or": [{"kw": "of"}, {"exact": [{"kw": "in"}, {"kw": "the"}]}]}, {"not": {"approx": [{"kw": "er"}, {"kw": "und"}]}}]}), _and(_or(_kw("of"), _exact("in", "the")), _not(_and(_kw("er"), _kw("und")))))
 _node("nested_bool", And(Or(Kw("in"), Kw("is")), And(Exact((Kw("of"), Kw("the"))), Not(Kw("er")))), _and(_or(_kw("in"), _kw("is")), _exact("of", "the"), _not(_kw("er"))))
 
 # Commands.
@@ -141,6 +161,7 @@ _add("query_top_page", lambda s, d: commands.top(_found(s, d, _OF_OR_DE), 20, 40
 _add("query_total", lambda s, d: commands.total(_found(s, d, _OF_OR_DE)), f"{TOK} SELECT count(*) AS total FROM ({_OF_OR_DE_SQL})")
 _add("query_filter_min", lambda s, d: commands.at_least(_found(s, d, Kw("the")), 30), f"{TOK} SELECT doc_id, round(rel, 6) AS relevance FROM ({_kw('the')}) WHERE rel >= 0.3")
 _add("query_filter_zero", lambda s, d: commands.at_least(_found(s, d, Kw("the"))), f"{TOK} SELECT doc_id, round(rel, 6) AS relevance FROM ({_kw('the')})")
+_add("query_filter_single", lambda s, d: commands.at_least(_found(s, d, Kw("the")), 30, single_precision=True), f"{TOK} SELECT doc_id, round(rel, 6) AS relevance FROM ({_kw('the')}) WHERE CAST(rel AS FLOAT) >= CAST(0.3 AS FLOAT)")
 _add("query_filter_range", lambda s, d: commands.at_least(_found(s, d, Kw("the"), doc_start=100, doc_stop=700), 10), f"{TOK} SELECT doc_id, round(rel, 6) AS relevance FROM ({_kw('the')}) WHERE rel >= 0.1 AND doc_id BETWEEN 100 AND 700")
 
 # Query text.
@@ -148,15 +169,24 @@ for _name, _text, _sql in (
     ("parse_or_tighter", "the AND of OR de", _and(_kw("the"), _or(_kw("of"), _kw("de")))),
     ("parse_implicit_and", "of the NOT er", _and(_kw("of"), _kw("the"), _not(_kw("er")))),
     ("parse_multi_token_phrase", "of-the", _exact("of", "the")),
+    ("parse_approx", "`be as` OR [as that]", _or(_approx("be", "as"), _approx("as", "that"))),
     ("parse_groups", '("of the" OR de) in', _and(_or(_exact("of", "the"), _kw("de")), _kw("in"))),
 ):
     _node(_name, parse(_text), _sql)
 
+for _name, _text, _sql in (
+    ("compat_or_first", "of AND de OR und", _and(_or(_kw("und"), _kw("de")), _kw("of"))),
+    ("compat_group_in_phrase", '"of (in) the"', _and(_exact("of", "the"), _kw("in"))),
+    ("compat_not_lost", "(NOT of) the", _and(_kw("the"), _kw("of"))),
+    ("compat_open_group", "of the AND in (de", _and(_kw("of"), _kw("the"), _kw("in"))),
+):
+    _node(_name, parse(_text, compat=True), _sql)
+
 
 # Writing.
 def _merge_readd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, and then every document once more."""
-    once = P.build_postings(_hits(spark, sf_dir))
+    once = _postings(spark, sf_dir)
     return _hit_text(P.merge_postings(once.withColumn("batch", F.lit(0)).unionByName(once.withColumn("batch", F.lit(1))), "batch"))
 
 
@@ -165,7 +195,6 @@ _add(
     f"{TOK} SELECT word, doc_id, doc_size, count(*) AS tf, CAST(10 * count(*) AS BIGINT) AS sum_w, string_agg(pos || ':10', ' ' ORDER BY pos) AS hit_list "
     "FROM (SELECT * FROM tok UNION ALL SELECT * FROM tok) JOIN ds USING (doc_id) GROUP BY word, doc_id, doc_size",
 )
-_add("purge_before", lambda s, d: _hit_text(P.in_range(P.build_postings(_hits(s, d)), 500, 0)), f"SELECT * FROM ({_POSTINGS_SQL}) WHERE doc_id >= 500")
 
 
 def _weighted_title(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,5 +242,45 @@ def _stored_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.query_top('"of the" OR de', 50).page
 
 
+def _stored_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents stored in two segments, then rewritten without ids below 500."""
+    engine = _stored(spark, sf_dir)
+    docs = _documents(spark, sf_dir)
+    for own in ("doc_id % 3 = 0", "doc_id % 3 > 0"):
+        engine.add_documents(docs.filter(own), text_col="text")
+        engine.flush()
+    engine.compact(purge_before=500)
+    return _hit_text(engine.index.postings())
+
+
+def _stored_readd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents added, and again with their first 40 letters alone, read from two segments: a word keeps the older size."""
+    engine = _stored(spark, sf_dir)
+    docs = _documents(spark, sf_dir)
+    for again in (docs, docs.withColumn("text", F.substring("text", 1, 40))):
+        engine.add_documents(again, text_col="text")
+        engine.flush()
+    return _hit_text(engine.index.postings())
+
+
+def _buffered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the words that wait for a flush, those of flushed ones not counted."""
+    engine = _stored(spark, sf_dir)
+    docs = _documents(spark, sf_dir)
+    engine.add_documents(docs.filter("doc_id % 2 = 0"), text_col="text")
+    engine.flush()
+    engine.add_documents(docs.filter("doc_id % 2 = 1"), text_col="text")
+    return engine.buffered()
+
+
 _add("stream_ingest", _stream_ingest, _POSTINGS_SQL)
 _add("stored_query", _stored_query, _top(_or(_exact("of", "the"), _kw("de")), 50))
+_add("stored_purge", _stored_purge, f"SELECT * FROM ({_POSTINGS_SQL}) WHERE doc_id >= 500")
+_add(
+    "stored_readd", _stored_readd,
+    TOK.replace("FROM documents)", "FROM documents), cut AS (SELECT doc_id, list_filter(regexp_extract_all(translate(lower(substring(coalesce(text, ''), 1, 40)), "
+    f"'{ACCENTED}', '{FOLDED}'), '[a-z0-9]+'), lambda x: length(x) < 50) AS w FROM documents)", 1)
+    + ", every AS (SELECT doc_id, pos, word, doc_size, 0 AS batch FROM tok JOIN ds USING (doc_id) UNION ALL SELECT doc_id, CAST(unnest(range(len(w))) AS INT) AS pos, unnest(w) AS word, CAST(10 * len(w) AS BIGINT) AS doc_size, 1 AS batch FROM cut) "
+    "SELECT word, doc_id, arg_min(doc_size, batch) AS doc_size, count(*) AS tf, CAST(10 * count(*) AS BIGINT) AS sum_w, string_agg(pos || ':10', ' ' ORDER BY pos) AS hit_list FROM every GROUP BY word, doc_id",
+)
+_add("delta_count", _buffered, f"{TOK} SELECT word, count(*) AS df FROM kw WHERE doc_id % 2 = 1 GROUP BY word")

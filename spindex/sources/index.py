@@ -1,70 +1,118 @@
 """The stored index: segments of bucketed postings, published by a manifest.
 
-    <path>/segments/<name>/postings/bucket=<b>/*.parquet   sorted by word, doc_id
-    <path>/segments/<name>/docs/*.parquet
-    <path>/manifest/*.json                                 {version, segments}
+    <path>/postings/segment=<name>/bucket=<b>/*.parquet   sorted by word, doc_id
+    <path>/docs/segment=<name>/*.parquet
+    <path>/manifest/<version>.json                        segments and the streams' last batches
 
 A segment is visible once a manifest names it; the manifest of the highest
-version counts.  Files are only added, so readers keep a whole snapshot.
+version counts.  Files are only added, so readers keep a whole snapshot until
+`vacuum` deletes what no manifest names any more.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import uuid
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from spindex.operators.postings import bucket, build_postings, documents, merge_postings
+from spindex.operators.postings import bucket, build_postings, documents, merge_postings, scan
 from spindex.schema import DOCS, POSTINGS
+from spindex.sources import files
 
-MANIFEST = T.StructType([T.StructField("version", T.LongType()), T.StructField("segments", T.ArrayType(T.StringType()))])
 STORED = T.StructType([*POSTINGS.fields, T.StructField("bucket", T.IntegerType())])
+_SEGMENT = T.StructField("segment", T.StringType())
+#: Adjacent segments of one size that are merged; seconds that unnamed files are kept for readers and writers at work.
+FAN_IN, KEEP_S = 8, 24 * 3600
+
+
+@dataclass
+class Manifest:
+    """segments: documents of each by name, the oldest first; streams: the last batch of each."""
+
+    version: int = 0
+    segments: dict[str, int] = field(default_factory=dict)
+    streams: dict[str, int] = field(default_factory=dict)
 
 
 class StoredIndex:
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
-    def _manifest(self) -> tuple[int, list[str]]:
-        try:
-            last = self.spark.read.schema(MANIFEST).json(f"{self.path}/manifest").orderBy(F.desc("version")).first()
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return 0, []  # nothing published yet
-        return (last["version"], list(last["segments"])) if last else (0, [])
+    # Manifests
+
+    def manifest(self) -> Manifest:
+        """The newest manifest: one listing and one small file."""
+        names = [e.name for e in files.listing(self.spark, f"{self.path}/manifest") if e.name.endswith(".json")]
+        return Manifest(**json.loads(files.read_text(self.spark, f"{self.path}/manifest/{names[-1]}"))) if names else Manifest()
 
     def segments(self) -> list[str]:
         """Names of the visible segments, the oldest first."""
-        return self._manifest()[1]
+        return list(self.manifest().segments)
 
-    def publish(self, segments: list[str]) -> None:
-        version = self._manifest()[0] + 1
-        values = ", ".join("'" + s.replace("'", "") + "'" for s in segments)
-        row = self.spark.sql(f"SELECT CAST({version} AS BIGINT) AS version, CAST(array({values}) AS array<string>) AS segments")
-        row.coalesce(1).write.mode("append").json(f"{self.path}/manifest")
+    def publish(self, change: Callable[[Manifest], None], attempts: int = 20) -> Manifest:
+        """Apply `change` to the newest manifest and store it as the next version.
 
-    def write(self, postings: DataFrame, docs: DataFrame, name: str | None = None) -> str:
-        """A new segment, not visible yet; one of the same name is replaced."""
+        A version is created only if it is not there, so a writer that comes
+        second starts again from what the first one has published.
+        """
+        for _ in range(attempts):
+            new = self.manifest()
+            change(new)
+            new.version += 1
+            if files.create_text(self.spark, f"{self.path}/manifest/{new.version:012d}.json", json.dumps(new.__dict__)):
+                return new
+        raise RuntimeError(f"other writers kept publishing to {self.path}")
+
+    # Writing
+
+    def write(self, postings: DataFrame, name: str | None = None) -> str:
+        """A new segment, not visible yet; one of the same name is replaced.
+
+        Rows are dealt by bucket; AQE splits large buckets and joins small ones
+        to its advisory partition size, so the number and size of files follow
+        the data, not the number of tasks.  The documents are read off the stored
+        postings, whose texts are thus read once.
+        """
         name = name or uuid.uuid4().hex
-        to = f"{self.path}/segments/{name}"
-        rows = postings.select(*POSTINGS.names).withColumn("bucket", bucket(F.col("word"), self.buckets))
-        # the aggregation has dealt rows by word and doc_id: a frequent word's postings stay spread over several files
-        rows.sortWithinPartitions("bucket", "word", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{to}/postings")
-        docs.select(*DOCS.names).write.mode("overwrite").parquet(f"{to}/docs")
+        rows = postings.select(*POSTINGS.names).withColumn("bucket", bucket(F.col("word"), self.buckets)).hint("rebalance", "bucket")
+        rows.sortWithinPartitions("bucket", "word", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/segment={name}")
+        docs = documents(self._read("postings", STORED, [name]))
+        docs.select(*DOCS.names).hint("rebalance").write.mode("overwrite").parquet(f"{self.path}/docs/segment={name}")
         return name
 
     def write_hits(self, hits: DataFrame, name: str | None = None) -> str:
-        postings = build_postings(hits)
-        return self.write(postings, documents(hits.select("doc_id", "doc_size")), name)
+        """A segment from hits, dealt by document best."""
+        return self.write(build_postings(hits), name)
+
+    def size(self, name: str) -> int:
+        """Documents of a segment."""
+        return self._read("docs", DOCS, [name]).count()
+
+    def add(self, names: list[str], batch: tuple[str, int] | None = None) -> None:
+        """Make segments visible, all at once; `batch` notes a stream's batch number with them."""
+        sizes = {n: self.size(n) for n in names}
+
+        def change(m: Manifest) -> None:
+            m.segments |= sizes
+            if batch:
+                m.streams[batch[0]] = max(batch[1], m.streams.get(batch[0], -1))
+
+        self.publish(change)
+
+    # Reading
 
     def _read(self, kind: str, schema: T.StructType, segments: list[str]) -> DataFrame:
-        parts = [self.spark.read.schema(schema).parquet(f"{self.path}/segments/{s}/{kind}").withColumn("segment", F.lit(i)) for i, s in enumerate(segments)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        """One relation over the segments' files, whatever their number."""
+        root = f"{self.path}/{kind}"
+        return self.spark.read.schema(T.StructType([*schema.fields, _SEGMENT])).option("basePath", root).parquet(*[f"{root}/segment={s}" for s in segments])
+
+    @staticmethod
+    def _age(segments: list[str]) -> Column:
+        return F.array_position(F.array(*[F.lit(s) for s in segments]), F.col("segment"))
 
     def postings(self, words: list[str] | None = None, segments: list[str] | None = None) -> DataFrame:
         """Visible postings, merged over segments; of `words` alone if given."""
@@ -73,12 +121,10 @@ class StoredIndex:
             return self.spark.createDataFrame([], STORED)
         found = self._read("postings", STORED, segments)
         if words is not None:
-            from spindex.operators.postings import scan
-
             found = scan(found, words, buckets=self.buckets)
         if len(segments) == 1:
             return found.drop("segment")
-        return merge_postings(found, "segment").withColumn("bucket", bucket(F.col("word"), self.buckets))
+        return merge_postings(found.withColumn("age", self._age(segments)), "age").withColumn("bucket", bucket(F.col("word"), self.buckets))
 
     def docs(self, segments: list[str] | None = None) -> DataFrame:
         """Visible documents; one added again keeps its oldest size."""
@@ -86,21 +132,75 @@ class StoredIndex:
         if not segments:
             return self.spark.createDataFrame([], DOCS)
         found = self._read("docs", DOCS, segments)
-        return found.drop("segment") if len(segments) == 1 else found.groupBy("doc_id").agg(F.min_by("doc_size", "segment").alias("doc_size"))
+        return found.drop("segment") if len(segments) == 1 else found.groupBy("doc_id").agg(F.min_by("doc_size", self._age(segments)).alias("doc_size"))
+
+    # Upkeep
+
+    def _merge(self, merged: list[str], purge_before: int | None = None) -> str:
+        """Rewrite adjacent segments as one, in their place."""
+        postings = self.postings(segments=merged)
+        name = self.write(postings if purge_before is None else postings.filter(F.col("doc_id") >= purge_before))
+        size = self.size(name)
+
+        def change(m: Manifest) -> None:
+            if not all(s in m.segments for s in merged):
+                raise RuntimeError("another writer has merged the same segments")
+            kept = {}
+            for s, n in m.segments.items():
+                if s == merged[0]:
+                    kept[name] = size
+                if s not in merged:
+                    kept[s] = n
+            m.segments = kept
+
+        self.publish(change)
+        return name
 
     def compact(self, purge_before: int | None = None) -> str | None:
         """Rewrite all segments as one, without documents below `purge_before`.
 
-        Segments published meanwhile stay beside it.  One writer at a time may
-        publish: two that do so at once may lose one's segments from the manifest.
+        Segments published meanwhile stay beside it.
         """
         segments = self.segments()
-        if not segments:
-            return None
-        postings, docs = self.postings(segments=segments), self.docs(segments)
-        if purge_before is not None:
-            postings, docs = postings.filter(F.col("doc_id") >= purge_before), docs.filter(F.col("doc_id") >= purge_before)
-        name = self.write(postings, docs)
-        now = self.segments()
-        self.publish([name, *[s for s in now if s not in segments]])
-        return name
+        return self._merge(segments, purge_before) if segments else None
+
+    def upkeep(self, fan_in: int = FAN_IN, keep_s: float = KEEP_S) -> int:
+        """Merge runs of `fan_in` adjacent segments of one size tier, and vacuum; the number of merges.
+
+        Tiers are powers of `fan_in` documents, so a document is rewritten about
+        once a tier and segments stay few, however many batches have come.
+        """
+        merges = 0
+        while run := self._run(self.manifest().segments, fan_in):
+            self._merge(run)
+            merges += 1
+        if merges:
+            self.vacuum(keep_s)
+        return merges
+
+    @staticmethod
+    def _run(segments: dict[str, int], fan_in: int) -> list[str]:
+        """The newest run of adjacent segments, as long as they come, of one tier."""
+        run: list[str] = []
+        tier = None
+        for name, docs in reversed(segments.items()):
+            own = int(math.log(max(docs, 1), fan_in) + 1e-9)
+            if own != tier:
+                if len(run) >= fan_in:
+                    break
+                run, tier = [], own
+            run.append(name)
+        return run[::-1] if len(run) >= fan_in else []
+
+    def vacuum(self, keep_s: float = KEEP_S) -> list[str]:
+        """Delete segments that the newest manifest does not name, and older manifests.
+
+        Only what is older than `keep_s` seconds goes: readers may still hold the
+        snapshot before, and writers have segments that are not published yet.
+        """
+        now = self.manifest()
+        gone = [f"{kind}/{e.name}" for kind in ("postings", "docs") for e in files.listing(self.spark, f"{self.path}/{kind}") if e.age_s > keep_s and e.name.removeprefix("segment=") not in now.segments]
+        gone += [f"manifest/{e.name}" for e in files.listing(self.spark, f"{self.path}/manifest") if e.age_s > keep_s and e.name < f"{now.version:012d}.json"]
+        for g in gone:
+            files.delete(self.spark, f"{self.path}/{g}")
+        return gone

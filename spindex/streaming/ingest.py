@@ -13,14 +13,15 @@ from spindex.sources.index import StoredIndex
 def publish_batch(index: StoredIndex, batch: DataFrame, batch_id: int, text_col: str | None = "text", words_col: str | None = None, id_col: str = "doc_id", weight: int = DEFAULT_WEIGHT, stream: str = "stream") -> None:
     """Write a micro-batch as the segment of its number and publish it once.
 
-    A retried batch replaces its segment and is not listed again, so its hits
-    count once.
+    The manifest notes the stream's last batch, so a retried batch is not added
+    again, even after its segment was merged with others.  Segments are merged as
+    they become many.
     """
-    hits = weighted_hits(batch, id_col, words_col) if words_col else text_hits(batch, id_col, text_col, weight)
-    name = index.write_hits(hits, f"{stream}-{batch_id:012d}")
-    visible = index.segments()
-    if name not in visible:
-        index.publish([*visible, name])
+    if batch_id <= index.manifest().streams.get(stream, -1):
+        return
+    hits = weighted_hits(batch, id_col, words_col, by_document=True) if words_col else text_hits(batch, id_col, text_col, weight, by_document=True)
+    index.add([index.write_hits(hits, f"{stream}-{batch_id:012d}")], (stream, batch_id))
+    index.upkeep()
 
 
 def start_ingest(index: StoredIndex, stream: DataFrame, checkpoint: str, available_now: bool = False, every_s: int = FLUSH_PERIOD_S, name: str = "stream", **columns) -> StreamingQuery:

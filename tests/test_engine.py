@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from spindex import And, Approx, Engine, Exact, Kw, Not, Or
 from spindex.operators import postings as P
-from spindex.plans import commands, joins, pivot
+from spindex.plans import commands, pivot
 from spindex.schema import should_flush
+from spindex.sources.index import Manifest, StoredIndex
+from tests import joins
 
 MICRO = {1: [("cat", 10), ("dog", 10), ("cat", 10)], 2: [("dog", 10), ("cat", 10)], 3: [("cat", 50), ("bird", 10)], 4: [("dog", 10), ("bird", 10), ("fish", 10)], 7: [("cat", 10), ("x", 10), ("dog", 10)]}
 WORDS = "doc_id long, words array<struct<word:string,weight:int>>"
@@ -21,6 +23,10 @@ def micro(spark):
     return P.build_postings(P.weighted_hits(spark.createDataFrame(list(MICRO.items()), WORDS))).cache()
 
 
+def ids(postings):
+    return postings.select("doc_id").distinct()
+
+
 def scores(df):
     return {r["doc_id"]: round(r["relevance"], 6) for r in df.collect()}
 
@@ -43,7 +49,7 @@ GOLDEN = [
 @pytest.mark.parametrize("plan", [pivot.evaluate, joins.evaluate])
 @pytest.mark.parametrize("query,expected", GOLDEN, ids=lambda x: str(x)[:40])
 def test_golden(micro, plan, query, expected):
-    assert scores(plan(query, micro, P.documents(micro))) == expected
+    assert scores(plan(query, micro, ids(micro))) == expected
 
 
 @pytest.mark.parametrize("plan", [pivot.evaluate, joins.evaluate])
@@ -54,7 +60,7 @@ def test_not_over_a_range(micro, plan):
 
 
 def test_commands(micro):
-    def ids(df):
+    def ids(df):  # noqa: F811
         return [r["doc_id"] for r in df.orderBy("rank").collect()]
 
     cat = pivot.evaluate(CAT, micro)
@@ -136,7 +142,7 @@ def test_both_plans_against_brute_force(spark):
     r = random.Random(5)
     docs = {d: [(r.choice("abcdefgh"), r.choice([0, 10, 10, 50])) for _ in range(r.randint(1, 14))] for d in range(25)}
     postings = P.build_postings(P.weighted_hits(spark.createDataFrame(list(docs.items()), WORDS))).cache()
-    universe = P.documents(postings).cache()
+    universe = ids(postings).cache()
     for _ in range(14):
         query = tree(r, 3)
         expected = brute(query, docs)
@@ -147,7 +153,7 @@ def test_both_plans_against_brute_force(spark):
 
 
 def test_properties(micro):
-    docs = P.documents(micro)
+    docs = ids(micro)
     run = lambda q: scores(pivot.evaluate(q, micro, docs))
     assert run(And(CAT, DOG)) == run(And(DOG, CAT)) and run(Or(CAT, DOG)) == run(Or(DOG, CAT))
     assert len(run(Or(CAT, DOG))) == len(run(CAT)) + len(run(DOG)) - len(run(And(CAT, DOG)))
@@ -179,6 +185,8 @@ def test_engine(spark, tmp_path):
     engine.add_documents(spark.createDataFrame([(3, MICRO[3]), (4, MICRO[4]), (7, MICRO[7])], WORDS), words_col="words")
     engine.flush()
     top = engine.query_top("cat", 2)
+    assert [(r["rank"], r["doc_id"]) for r in top.fetch()] == [(1, 3), (2, 1)] and top._total == 4
+    assert [r["doc_id"] for r in engine.query_top("cat", 2, 2).fetch()] == [2, 7] and engine.query_top("cat", 0).fetch() == [] and engine.query_top("cat", 0).total == 4
     assert [r["doc_id"] for r in top.page.orderBy("rank").collect()] == [3, 1] and top.total == 4
     assert [r["doc_id"] for r in engine.query_filter("cat", 100).collect()] == [1, 3]
     assert [r["doc_id"] for r in engine.query_filter("cat", docID_start=2, docID_stop=3).collect()] == [2, 3]
@@ -217,6 +225,11 @@ def test_retried_batch_counts_once(spark, tmp_path):
     for _ in range(2):
         publish_batch(engine.index, batch, 7)
     assert engine.index.postings(["cat"]).first()["tf"] == 2 and len(engine.index.segments()) == 1
+    publish_batch(engine.index, text_docs(spark, [(2, "cat")]), 8)
+    engine.compact()
+    publish_batch(engine.index, text_docs(spark, [(2, "cat")]), 8)  # its segment has been merged away
+    publish_batch(engine.index, text_docs(spark, [(3, "cat")]), 8, stream="another")
+    assert {r["doc_id"]: r["tf"] for r in engine.index.postings(["cat"]).collect()} == {1: 2, 2: 1, 3: 1}
 
 
 def test_stream(spark, tmp_path):
@@ -242,3 +255,81 @@ def test_integrity_finds_faults(spark):
 
 def test_flush_rule():
     assert not should_flush(166, 40) and should_flush(167, 0) is True and should_flush(0, 10_001) and should_flush(0, 0, forced=True)
+
+
+def test_postings_are_built_without_a_shuffle_of_tokens(spark):
+    docs = text_docs(spark, [(1, "b a b"), (1, "b c"), (2, "a"), (3, None), (4, ""), (None, "a"), (None, "a")])
+    for by_document in (True, False):
+        built = P.build_postings(P.text_hits(docs, by_document=by_document))
+        plan = built._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and (plan.index("Exchange") > plan.index("Generate")) == by_document  # below the tokens, or above
+        assert sorted((r["word"], r["doc_id"] or 0, r["tf"], r["doc_size"], [h["pos"] for h in r["hits"]]) for r in built.collect()) == [("a", 0, 2, 10, [0, 0]), ("a", 1, 1, 30, [1]), ("a", 2, 1, 10, [0]), ("b", 1, 3, 30, [0, 0, 2]), ("c", 1, 1, 20, [1])]
+
+
+def test_many_segments_are_one_relation(spark, tmp_path):
+    index = StoredIndex(spark, f"file://{tmp_path}/index", buckets=2)
+    name = index.write_hits(P.text_hits(text_docs(spark, [(1, "cat dog")])))
+    import shutil
+
+    names = [name]
+    for i in range(199):
+        for kind in ("postings", "docs"):
+            shutil.copytree(f"{tmp_path}/index/{kind}/segment={name}", f"{tmp_path}/index/{kind}/segment=s{i:03d}")
+        names.append(f"s{i:03d}")
+    index.publish(lambda m: m.segments.update({n: 1 for n in names}))
+    found = pivot.evaluate(CAT, index.postings(["cat"]))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1 and "Union" not in plan and index.postings(["cat"]).first()["tf"] == 200
+
+
+def test_upkeep_merges_tiers_and_keeps_what_was_added(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/index", buckets=2)
+    for i in range(11):
+        engine.add_documents(text_docs(spark, [(i, f"cat w{i}"), (100, "bird" + " bird" * i)]), text_col="text")
+        engine.flush()
+        assert len(engine.index.segments()) <= 8
+    assert {r["doc_id"] for r in engine.matches("cat").collect()} == set(range(11))
+    bird = engine.index.postings(["bird"]).first()
+    assert bird["tf"] == sum(range(1, 12)) and bird["doc_size"] == 10  # the oldest size, whatever was merged
+    assert StoredIndex._run({"a": 900, "b": 3, "c": 4, "d": 2, "e": 70}, 3) == [] and StoredIndex._run({"a": 900, "b": 3, "c": 4, "d": 5}, 3) == ["b", "c", "d"]
+    visible = set(engine.index.segments())
+    assert engine.index.vacuum(keep_s=3600) == []
+    engine.index.vacuum(keep_s=-1)
+    assert {p.name for p in (tmp_path / "index" / "postings").iterdir()} == {f"segment={s}" for s in visible} and len(list((tmp_path / "index" / "manifest").glob("*.json"))) == 1
+    assert {r["doc_id"] for r in engine.matches("cat").collect()} == set(range(11))
+
+
+def test_writers_at_once_lose_nothing(spark, tmp_path):
+    one, other = (StoredIndex(spark, f"file://{tmp_path}/index", buckets=2) for _ in range(2))
+    first = one.write_hits(P.text_hits(text_docs(spark, [(1, "cat")])))
+    second = other.write_hits(P.text_hits(text_docs(spark, [(2, "cat")])))
+    stale, calls = Manifest(), []
+    fresh = other.manifest
+
+    def late():
+        calls.append(1)
+        return stale if len(calls) == 1 else fresh()
+
+    one.add([first])
+    other.manifest = late  # has read the manifest before the first one published
+    other.publish(lambda m: m.segments.update({second: 1}))
+    assert one.segments() == [first, second] and len(calls) == 2
+
+
+def test_flush_when_due(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/index", buckets=2)
+    engine.add_documents(text_docs(spark, [(1, "cat"), (2, "cat dog")]), text_col="text")
+    assert {r["word"]: r["df"] for r in engine.buffered().collect()} == {"cat": 2, "dog": 1} and engine.query_top("cat", 5).total == 0
+    assert not engine.flush_if_due(idle_s=100) and engine.flush_if_due(idle_s=167) and engine.query_top("cat", 5).total == 2
+    assert engine.buffered().count() == 0 and not engine.flush_if_due(idle_s=1e6)
+    own = Engine(spark, f"file://{tmp_path}/own", buckets=2, auto_flush=True)
+    own.add_documents(spark.range(10_001).selectExpr("id AS doc_id", "'cat' AS text"), text_col="text")
+    assert own.query_top("cat", 1).total == 10_001
+
+
+def test_stop_drops_what_waits(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/index", buckets=2)
+    engine.add_documents(text_docs(spark, [(1, "cat")]), text_col="text")
+    engine.stop()
+    engine.flush()
+    assert engine.query_top("cat", 5).total == 0

@@ -8,7 +8,10 @@ import __spark_entry__ as entry
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-ENGINE = ["kw_score", "nested_bool", "exact_or_child", "approx3", "query_top_page", "not_range", "weighted_title"]
+ENGINE = [
+    "postings_build", "integrity_violations", "kw_score", "nested_bool", "exact_or_child", "approx3", "approx_frequent", "dict_tree", "query_top_page", "query_filter_single", "not_range", "weighted_title", "parse_approx",
+    "compat_or_first", "compat_group_in_phrase", "compat_not_lost", "compat_open_group", "merge_readd", "stream_ingest", "stored_query", "stored_purge", "stored_readd", "delta_count",
+]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the test tables")
 
