@@ -7,19 +7,24 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from spindex.sources.files import delete
 from spindex.sources.folders import shared_dir
 
-#: Rows in one Arrow batch handed to Python; bounds a worker's memory by a few
-#: hundred texts, whatever the partition's size.
-BATCH_ROWS = 400
+#: Rows and bytes in one Arrow batch handed to Python; they bound a worker's
+#: memory by a few hundred texts, or one text that is larger, whatever the partition's size.
+BATCH_ROWS, BATCH_BYTES = 400, 16 << 20
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Hand Python at most `rows` rows at once (never raises a lower setting)."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Hand Python at most `rows` rows, or about `size` bytes, at once.
+
+    Never raises a lower setting.  Spark reads these when a plan is run, after
+    the operator has returned it, so they hold for the session from then on.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,13 +35,31 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """Cut lineage: write `df` to the shared folder and read it back.
 
     Parquet in the shared folder survives lost executors, is smaller than a
-    checkpoint of rows, and gives later plans real sizes.  Such tables stay until
-    the folder is emptied.
+    checkpoint of rows, and gives later plans real sizes.  A table stays until
+    `discard`, or until the folder is emptied.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spindex-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._spindex_written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of `written` that nothing unwritten depends on any more; others are left alone."""
+    for t in tables:
+        if path := t.__dict__.get("_spindex_written"):
+            delete(t.sparkSession, path)
+
+
+#: Rows of ids that may be broadcast: a few dozen MB.
+FEW_ROWS = 1_000_000
+
+
+def if_few(ids: DataFrame, rows: int = FEW_ROWS) -> DataFrame:
+    """`ids`, a written table of a few numbers a row, marked for broadcast if it has no more than `rows`."""
+    return F.broadcast(ids) if ids.count() <= rows else ids
 
 
 def texts_of(batch: pa.RecordBatch, name: str) -> list:

@@ -389,6 +389,40 @@ def test_near_dedup_against_brute_force(spark):
     assert not any(near(sets[a], sets[b]) for a in kept for b in kept if a < b)
 
 
+def test_near_copies_stay_apart_and_do_not_depend_on_partitions(spark):
+    """Chains of copies of copies, families of texts that are alike by less, and repeated texts."""
+    from spindex.llm import near_copies
+
+    rows = []
+    for family in range(6):
+        base = [f"f{family}w{i}" for i in range(120)]
+        for k in range(25):
+            words = list(base) if family % 2 else list(rows[-1][1].split()) if k else list(base)
+            for _ in range(R.choice([0, 1, 2, 4] if family % 2 else [1])):
+                words[R.randrange(len(words))] = f"x{R.randrange(10**6)}"
+            rows.append((1000 * family + R.randrange(1000), " ".join(words)))
+    rows = list(dict(rows).items()) + [(9001, ""), (9002, None), (9003, "a b"), (9004, "a b"), (None, "a b"), (None, "a b")]
+
+    def sets(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    def near(a, b):
+        return len(a & b) >= 0.8 * len(a | b)
+
+    kept = []
+    for parts in (1, 7):
+        df = odd(spark, rows).repartition(parts)
+        kept.append(sorted(r["doc_id"] or 0 for r in near_copies.drop_near_copies(df).collect()))
+    assert kept[0] == kept[1]
+    own = {d: sets(t or "") for d, t in rows if d is not None}
+    stay = [d for d in kept[0] if d and own[d]]
+    assert not any(near(own[a], own[b]) for a in stay for b in stay if a < b)
+    assert all(any(e < d and near(own[d], own[e]) for e in own if own[e]) for d in own if own[d] and d not in stay)
+    assert {9001, 9002, 9003} <= set(kept[0]) and kept[0].count(0) == 2 and 9004 not in kept[0]
+    assert near_copies.drop_near_copies(odd(spark, [])).count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
 @pytest.mark.parametrize("name", ["op3_licenses", "op7_decontamination"])
 def test_against_sql(spark, name):
