@@ -93,3 +93,16 @@ def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
         return df
     cut = int(rows / total * (1 << 40))
     return df.filter(F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(1 << 40)) < F.lit(cut))
+
+
+def equal_shares(df: DataFrame, key: str, kind: str, rows: int) -> DataFrame:
+    """About `rows` rows of `df`, of each `kind` as many, or all that it has.
+
+    Counts by kind are joined back, so the choice by a hash of `key` depends on
+    neither partitions nor order.  Rows without a kind are left out.
+    """
+    counts = df.groupBy(kind).agg(F.count(F.lit(1)).alias("__n"))
+    kinds = max(1, counts.count())
+    share = counts.select(F.col(kind).alias("__kind"), (F.lit(max(1, rows // kinds)) / F.col("__n") * F.lit(1 << 40)).cast("long").alias("__cut"))
+    picked = df.join(F.broadcast(share) if kinds <= FEW_ROWS else share, F.col(kind) == F.col("__kind"))
+    return picked.filter(F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(1 << 40)) < F.col("__cut")).select(*df.columns)

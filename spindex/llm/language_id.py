@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from spindex.llm.common import bounded_batches, hash_sample
+from spindex.llm.common import bounded_batches, equal_shares
 
 #: Dimensions of a vector, letters of an n-gram, letter classes.
 DIMENSIONS, GRAM, CLASSES = 1024, 3, 64
@@ -140,13 +140,14 @@ def is_held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_DOCS) -> Prototypes:
     """Prototypes of the languages of about `rows` documents outside the held-out fold.
 
-    Each document's bundle has the same weight.  Executors add up the bundles of
+    Every language gives an equal share, or all it has; with over `rows` of
+    them, one document or so each.  Each document's bundle has the same weight.  Executors add up the bundles of
     a partition by language; the driver gets those sums one by one, never more
     than there are documents in the sample.
     """
     bounded_batches(docs.sparkSession)
     known = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
-    some = hash_sample(known.filter(F.col("lang").isNotNull() & ~is_held_out(F.col("id"))), "id", rows)
+    some = equal_shares(known.filter(F.col("lang").isNotNull() & ~is_held_out(F.col("id"))), "id", "lang", rows)
 
     def run(batches):
         profiler, sums = Profiler(), {}

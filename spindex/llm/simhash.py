@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from spindex.llm.common import bounded_batches, bytes_of, written
+from spindex.llm.common import bounded_batches, bytes_of, discard, written
 
 BITS, SEED = 64, 42
-#: Differing bits that still link; widths of the blocks, two more than that, so that a close pair agrees on two.
+#: Differing bits that still link.
 DISTANCE = 4
-BLOCKS = (11, 11, 11, 11, 10, 10)
-KEY_BITS = sum(BLOCKS[:2])
 #: Fingerprints of one bucket compared in one task; a larger bucket is split by more bits.
 BUCKET = 20_000
+#: Fingerprints that a bucket has by chance at most, before keys of more bits are taken.
+CROWD = 64
 #: Shingles turned into bits at once: 64 bytes each.
 _AT_ONCE = 1 << 17
 
@@ -87,37 +88,65 @@ def _bits(fp: Column, low: int, width: int) -> Column:
     return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def _joined(parts: list[tuple[Column, int]], number: int) -> Column:
-    """The parts' bits side by side, below the number of the combination."""
-    key = F.lit(0).cast("long")
-    for part, width in parts:
-        key = F.shiftleft(key, width).bitwiseOR(part)
-    return key.bitwiseOR(F.lit(number << KEY_BITS))
+@dataclass(frozen=True)
+class Blocks:
+    """Cuts of a fingerprint into `n` blocks: a close pair agrees on all but DISTANCE of them.
 
+    More blocks give keys of more bits, and more keys for each fingerprint: 15
+    of 22 bits with 6 blocks, 35 of 27 or more with 7, 70 of 32 with 8.
+    """
+
+    n: int
+
+    @property
+    def parts(self) -> list[tuple[int, int]]:
+        """(lowest bit, width) of each, the wider ones first."""
+        widths = [BITS // self.n + (k < BITS % self.n) for k in range(self.n)]
+        return [(sum(widths[:k]), w) for k, w in enumerate(widths)]
+
+    @property
+    def choices(self) -> list[tuple[int, ...]]:
+        """Blocks that a key is made of."""
+        return list(combinations(range(self.n), self.n - DISTANCE))
+
+    @property
+    def key_bits(self) -> int:
+        return sum(w for _, w in self.parts[: self.n - DISTANCE])
+
+    @staticmethod
+    def for_rows(rows: int) -> Blocks:
+        """The fewest blocks with which a bucket has CROWD fingerprints at most by chance."""
+        return next((b for b in map(Blocks, (6, 7)) if rows <= CROWD << min(sum(w for _, w in b.parts[-(b.n - DISTANCE) :]), 60)), Blocks(8))
+
+
+def block_keys(fp: Column, blocks: Blocks) -> Column:
+    """A key for each choice of blocks: pairs within DISTANCE share one at least."""
+
+    def joined(number: int, chosen: tuple[int, ...]) -> Column:
+        key = F.lit(number).cast("long")
+        bits = blocks.key_bits
+        key = F.shiftleft(key, bits)
+        for k in chosen:
+            low, width = blocks.parts[k]
+            bits -= width
+            key = key.bitwiseOR(F.shiftleft(_bits(fp, low, width), bits))
+        return key
 
-def block_keys(fp: Column) -> Column:
-    """A key for each pair of blocks: pairs within DISTANCE share one at least."""
-    low, blocks = 0, []
-    for width in BLOCKS:
-        blocks.append((_bits(fp, low, width), width))
-        low += width
-    agree = len(BLOCKS) - DISTANCE
-    return F.array(*[_joined(list(c), n) for n, c in enumerate(combinations(blocks, agree))])
+    return F.array(*[joined(n, c) for n, c in enumerate(blocks.choices)])
 
 
-def finer_keys(fp: np.ndarray, key: int) -> np.ndarray:
+def finer_keys(fp: np.ndarray, key: int, blocks: Blocks) -> np.ndarray:
     """Keys (rows by 70) that split one bucket of `block_keys`.
 
-    The four blocks outside the bucket's pair are halved; a close pair agrees on
-    four of the eight halves.  All but 21 or 22 bits are then fixed, which
-    bounds a bucket for good.
+    The DISTANCE blocks outside the bucket's choice are halved; a close pair
+    agrees on as many of the halves.  All but 22 bits or less are then fixed,
+    which bounds a bucket for good.
     """
-    pair = list(combinations(range(len(BLOCKS)), len(BLOCKS) - DISTANCE))[key >> KEY_BITS]
-    halves, low = [], 0
-    for n, width in enumerate(BLOCKS):
-        if n not in pair:
+    taken = blocks.choices[key >> blocks.key_bits]
+    halves = []
+    for k, (low, width) in enumerate(blocks.parts):
+        if k not in taken:
             halves += [(low, width // 2), (low + width // 2, width - width // 2)]
-        low += width
     out = []
     for n, chosen in enumerate(combinations(halves, len(halves) - DISTANCE)):
         mixed = np.full(len(fp), np.uint64(key) * np.uint64(71) + np.uint64(n), np.uint64)
@@ -148,7 +177,7 @@ def spanning_links(fp: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
-def _link(keyed: DataFrame, bucket: int | None) -> DataFrame:
+def _link(keyed: DataFrame, bucket: int | None, blocks: Blocks) -> DataFrame:
     """Rows (a, b, finer) from (key, fp): links, or finer keys of large buckets.
 
     Buckets come sorted and stream through: one is held up to `bucket`
@@ -166,7 +195,7 @@ def _link(keyed: DataFrame, bucket: int | None) -> DataFrame:
         def split(fp: np.ndarray):
             for at in range(0, len(fp), 2048):
                 part = fp[at : at + 2048]
-                keys = finer_keys(part, held_key)
+                keys = finer_keys(part, held_key, blocks)
                 yield rows(np.repeat(part, keys.shape[1]), keys.ravel(), True)
 
         def add(key: int, fp: np.ndarray):
@@ -217,17 +246,21 @@ def _link(keyed: DataFrame, bucket: int | None) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long, finer boolean")
 
 
-def close_links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def close_links(nodes: DataFrame, bucket: int = BUCKET, blocks: Blocks | None = None) -> DataFrame:
     """Links (a, b) between distinct fingerprints `fp` at DISTANCE bits or fewer.
 
     Not all such pairs, but enough that chains of links join the same groups.
+    The number of blocks follows the number of fingerprints.
     """
-    first = written(_link(nodes.select(F.explode(block_keys(F.col("fp"))).alias("key"), "fp"), bucket), "links")
+    blocks = blocks or Blocks.for_rows(nodes.count())
+    first = written(_link(nodes.select(F.explode(block_keys(F.col("fp"), blocks)).alias("key"), "fp"), bucket, blocks), "links")
     links = first.filter("not finer").select("a", "b")
     finer = first.filter("finer").select(F.col("b").alias("key"), F.col("a").alias("fp"))
     if not finer.isEmpty():
-        links = links.unionByName(_link(finer, None).select("a", "b"))
-    return links.distinct()
+        links = links.unionByName(_link(finer, None, blocks).select("a", "b"))
+    out = written(links.distinct(), "close")
+    discard(first)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -258,7 +291,8 @@ def components(links: DataFrame) -> DataFrame:
     stars = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "stars")
     now = state(stars)
     while now[0]:
-        stars = written(star(star(stars, True), False), "stars")
+        last, stars = stars, written(star(star(stars, True), False), "stars")
+        discard(last)
         before, now = now, state(stars)
         if before == now:
             break
@@ -279,7 +313,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     each = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
     nodes = written(each.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "nodes")
-    labels = components(close_links(nodes, bucket))
+    links = close_links(nodes, bucket)
+    labels = components(links)
+    discard(links)
     own = labels.select("label").distinct().select(F.col("label").alias("node"), "label")
     linked = nodes.join(labels.unionByName(own).withColumnRenamed("node", "fp"), "fp", "left")
     label = F.coalesce("label", "fp")
@@ -297,8 +333,9 @@ def hex_fingerprint(fp: Column) -> Column:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
     """`docs` with one document of each near-duplicate group, that of smallest id.
 
-    Rows that repeat an id count as one document, of which one row stays; rows
-    without an id stay.
+    Rows that repeat an id count as one document, of which one row stays: that
+    of the longest text, of equal ones the greatest, then the one whose columns
+    are the greatest as JSON.  Rows without an id stay.
     """
     found = near_duplicates(docs, id_col, text_col, words)
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
@@ -307,4 +344,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     own = F.col(f"`{id_col}`")
     kept = docs.join(fates.select(F.col("doc_id").alias("__fate_id")), own == F.col("__fate_id"), "left_anti")
     again = docs.join(fates.filter("not gone").select(F.col("doc_id").alias("__fate_id")), own == F.col("__fate_id"), "left_semi")
-    return kept.unionByName(again.dropDuplicates([id_col]))
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    order = F.struct(F.length(F.col(f"`{text_col}`")), F.col(f"`{text_col}`"), F.to_json(every))
+    chosen = again.groupBy(own).agg(F.max_by(every, order).alias("__row"))
+    return kept.unionByName(chosen.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns]))

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from spindex.llm.common import bounded_batches, hash_sample, written
+from spindex.llm.common import bounded_batches, discard, hash_sample, written
 
 #: Hashed terms; terms that the machine weighs; factors of a term.
 SPACE, TERMS, FACTORS = 1 << 20, 512, 8
@@ -121,7 +121,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     The labels are sampled first, by a hash of the id, so the sample that is
     joined to the documents has a fixed bound and may be broadcast.  Terms are
-    counted by Spark; the driver gets the TERMS that tell most.
+    counted by Spark; the driver gets the TERMS that tell most.  Rows that repeat
+    an id are one document, of which the longest text counts, then the greatest;
+    so are labels, of which the greater counts.  The driver never gets more rows
+    than the sample has ids.
     """
     bounded_batches(docs.sparkSession)
     own = labels.select(F.col(f"`{label_id_col}`").alias("label_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
@@ -136,7 +139,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([terms(t) for t in b.column("text").to_pylist()], pa.list_(pa.int32()))], ["label", "terms"])
 
-    rows = written(texts.join(F.broadcast(some), "label_id").select("label", "text").mapInArrow(run, "label int, terms array<int>"), "labelled")
+    met = texts.join(F.broadcast(some), "label_id")
+    once = met.groupBy("label_id").agg(F.max("label").alias("label"), F.max(F.struct(F.length("text").alias("n"), F.col("text").alias("text"))).alias("t"))
+    rows = written(once.select("label", "t.text").mapInArrow(run, "label int, terms array<int>"), "labelled")
     total = rows.agg(F.sum("label"), F.count(F.lit(1))).first()
     positive, negative = total[0] or 0, total[1] - (total[0] or 0)
     counted = rows.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("label").alias("a"), F.count(F.lit(1)).alias("n"))
@@ -154,6 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for r in rows.mapInArrow(chosen, "label int, terms array<int>").collect():  # (POSITIVE_ROWS + NEGATIVE_ROWS) rows
         x.append(r["terms"])
         y.append(r["label"])
+    discard(rows)
     return fit(terms, x, y, prior)
 
 

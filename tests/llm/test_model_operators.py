@@ -38,6 +38,45 @@ def test_language_accuracy(spark, spoken):
     assert {r["doc_id"] for r in held.select("doc_id").collect()} == {i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2}
 
 
+def test_rare_languages_are_learned(spark, spoken):
+    rare = spark.createDataFrame([(5000 + i, "zzx qqj " * 9, "rare") for i in range(40)], "doc_id long, text string, lang string")
+    model = language_id.train(spoken.unionByName(rare), rows=40)
+    assert model.languages == ["aa", "bb", "cc", "rare"]
+
+
+def test_query_predicts_as_naive_cosines_do(spark, spoken, tmp_path):
+    """Bundles and cosines summed one n-gram at a time, over all documents that may be learned from."""
+    from spindex.llm.queries import op4_language_id
+
+    spoken.write.parquet(f"{tmp_path}/documents.parquet")
+    letters, p = language_id.letter_vectors().astype(float), language_id.Profiler()
+
+    def bundle(text):
+        codes = [int(p.table[ord(c)]) for c in text or ""]
+        codes = [0, *[c for i, c in enumerate(codes) if c or i and codes[i - 1]], 0]
+        codes = [c for i, c in enumerate(codes) if c or not i or codes[i - 1]]
+        v = np.zeros(language_id.DIMENSIONS)
+        for i in range(len(codes) - 2):
+            v += letters[codes[i]] * np.roll(letters[codes[i + 1]], 1) * np.roll(letters[codes[i + 2]], 2)
+        return v / np.linalg.norm(v)
+
+    rows = [r for r in spoken.collect()]
+    sums = {}
+    for r in rows:
+        if r["lang"] and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and any(c.isalpha() for c in r["text"] or ""):
+            sums[r["lang"]] = sums.get(r["lang"], 0) + bundle(r["text"])
+    means = {k: v / np.linalg.norm(v) for k, v in sums.items()}
+    common = sum(means.values()) / len(means)
+    unit = lambda v: v / np.linalg.norm(v)
+    for r, got in zip(sorted(rows, key=lambda r: r["doc_id"]), op4_language_id(spark, str(tmp_path)).orderBy("doc_id").collect()):
+        if any(c.isalpha() for c in r["text"] or ""):
+            cosine = {k: float(unit(bundle(r["text"]) - common) @ unit(v - common)) for k, v in means.items()}
+            assert got["lang_pred"] == max(cosine, key=cosine.get)
+            assert got["score"] == pytest.approx(1 / sum(np.exp(language_id.SHARPNESS * (c - max(cosine.values()))) for c in cosine.values()), rel=1e-2)
+        else:
+            assert (got["lang_pred"], got["score"]) == ("und", 0)
+
+
 def test_language_odd_rows(spark, spoken):
     model = language_id.train(spoken, rows=100)
     got = language_id.identify_language(odd(spark), model).collect()
@@ -83,6 +122,41 @@ def test_toxicity_learns_pairs(spark):
     assert model.score(both) > 0.5 and model.factors[both].any()
 
 
+def test_machine_against_a_naive_double_sum():
+    r = np.random.default_rng(4)
+    m = toxicity.FactorizationMachine({i: i for i in range(12)}, -0.3, r.normal(size=12), r.normal(size=(12, 5)))
+    for n in range(12):
+        places = sorted(r.choice(12, n, replace=False).tolist())
+        z = -0.3 + sum(m.weights[i] for i in places) + sum(sum(a * b for a, b in zip(m.factors[i], m.factors[j])) for i in places for j in places if i < j)
+        assert m.score(places) == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_query_scores_as_a_naive_machine_does(spark, tmp_path):
+    from spindex.llm.queries import op6_toxicity
+
+    rows, labels = toxic_rows(300)
+    docs, truth = spark.createDataFrame(rows + [(9000, None), (9001, LONG)], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    truth.write.parquet(f"{tmp_path}/labels.parquet")
+    model, texts = toxicity.train(docs, truth), dict(rows) | {9000: "", 9001: LONG}
+    for r in op6_toxicity(spark, str(tmp_path)).collect():
+        terms = {t for w in texts[r["doc_id"]].split() for t in toxicity.word_terms(w.encode()) if t in model.terms}
+        places = [model.terms[t] for t in terms]
+        z = model.bias + sum(model.weights[i] for i in places) + sum(float(model.factors[i] @ model.factors[j]) for n, i in enumerate(places) for j in places[:n])
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-3, abs=1e-6) and r["predicted"] == int(r["score"] >= 0.5)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def test_repeated_rows_reach_the_driver_once(spark, monkeypatch):
+    rows, labels = toxic_rows(60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    many = docs.unionByName(spark.range(50_000).selectExpr("id % 3 AS doc_id", "concat('vile ', id % 7) AS text"))
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda terms, x, y, prior: seen.append(len(x)))
+    toxicity.train(many, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert seen == [sum(zlib.crc32(str(i).encode()) % 5 > 0 for i in range(60))]
+
+
 def test_toxicity_odd_rows(spark):
     rows, labels = toxic_rows(200)
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -198,11 +198,35 @@ def test_simhash_clump_is_one_component(spark):
     base = np.uint64(0x123456789ABCDEF0)
     fps = np.unique([base ^ np.uint64(1 << int(a) | 1 << int(b)) for a, b in r.integers(0, 64, (900, 2))]).view(np.int64)
     nodes = spark.createDataFrame([(int(x),) for x in fps], "fp long")
-    for bucket in (20_000, 50):
-        found = simhash.components(simhash.close_links(nodes, bucket))
+    for bucket, n in ((20_000, 6), (50, 6), (20_000, 7), (50, 7), (50, 8)):
+        found = simhash.components(simhash.close_links(nodes, bucket, simhash.Blocks(n)))
         assert found.count() == len(fps) - 1 and found.select("label").distinct().count() == 1
 
 
+@pytest.mark.parametrize("n", [6, 7, 8])
+def test_close_pairs_share_a_key(spark, n):
+    blocks, r = simhash.Blocks(n), np.random.default_rng(n)
+    assert sum(w for _, w in blocks.parts) == 64 and len(blocks.choices) == {6: 15, 7: 35, 8: 70}[n] and blocks.key_bits + 7 < 63
+    rows = []
+    for i in range(300):
+        x = int(r.integers(0, 1 << 63)) * 2 + i % 2
+        y = x
+        for b in r.choice(64, 4, replace=False):
+            y ^= 1 << int(b)
+        rows.append([np.array([v], np.uint64).view(np.int64)[0].item() for v in (x, y)])
+    df = spark.createDataFrame(rows, "x long, y long").select("x", "y", *[simhash.block_keys(F.col(c), blocks).alias("k" + c) for c in "xy"])
+    shared = df.select("x", "y", F.array_intersect("kx", "ky").alias("k"), "kx").collect()
+    assert all(r["k"] and len(set(r["kx"])) == len(blocks.choices) for r in shared)
+    for r in shared[:40]:  # and a finer one, in each bucket that they share
+        for k in r["k"]:
+            x, y = simhash.finer_keys(np.array([r["x"], r["y"]], np.int64).view(np.uint64), k, blocks)
+            assert len(x) == 70 and (x == y).any()
+
+
+def test_blocks_follow_the_number_of_fingerprints():
+    assert [simhash.Blocks.for_rows(n).n for n in (0, 10**6, 10**7, 10**9, 10**10, 10**11, 10**15)] == [6, 6, 6, 7, 8, 8, 8]
+
+
 def test_components_of_a_path_and_a_cycle(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100 + i, 100 + (i + 1) % 7) for i in range(7)]
     got = dict(simhash.components(spark.createDataFrame(edges, "a long, b long")).collect())
@@ -219,6 +243,13 @@ def test_keep_one(spark):
     assert simhash.keep_one(odd(spark, [])).count() == 0
 
 
+def test_keep_one_of_repeated_ids_does_not_depend_on_order(spark):
+    rows = [(1, "b " * 30, "x"), (1, "a " * 31, "y"), (1, "c " * 31, "z"), (1, "c " * 31, "w"), (2, None, "v"), (2, "", "u"), (3, "other words stand here alone", None)]
+    for k in range(4):
+        df = spark.createDataFrame(rows[k:] + rows[:k], "doc_id long, text string, source string").repartition(k + 1)
+        assert sorted(map(tuple, simhash.keep_one(df).collect()), key=str) == [(1, "c " * 31, "z"), (2, "", "u"), (3, "other words stand here alone", None)]
+
+
 # 3
 
 
