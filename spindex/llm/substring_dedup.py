@@ -8,14 +8,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from spindex.llm.common import bounded_batches, bytes_of, written
+from spindex.llm.common import FEW_ROWS, bounded_batches, bytes_of, discard, written
 from spindex.llm.decontamination import words_of
 
 #: Words of a seed; a seed is kept if its hash is the least of WINDOW in a row, so
 #: that SEED + WINDOW - 1 equal words always share one.
 SEED, WINDOW = 5, 8
-#: Seeds in a row that are linked as one, too; 36 equal words hold two such runs.
-RUN = 3
+#: Seeds in a row that are linked as one, too, and runs in a row of which one is kept: 44 equal words always share a run.
+RUN, RUNS_WINDOW = 3, 3
 #: A passage: words on either side, share of them that may be edited.
 LEAST_WORDS, MOST_EDITS = 40, 0.2
 #: Gap cost of a word between two seeds, against 1 for a seed.
@@ -32,7 +32,7 @@ REMEMBERED = 500_000
 _SKIPS = sorted((max(p, q), p, q) for p in range(SKIP + 1) for q in range(SKIP + 1) if p or q)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
-SEEDS = "hash long, doc long, pos int, center long, center_pos int"
+SEEDS = "hash long, doc long, pos int, span int, center long, center_pos int"
 CHAINS = "doc long, d_from int, d_to int, center long, c_from int, c_to int, seeds int, anchors binary"
 PASSAGES = "doc_id long, start long, end long, other_id long, other_start long, other_end long, seeds int, edits int, identity double"
 
@@ -58,6 +58,13 @@ class WordHashes:
             return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
+def kept_least(values: np.ndarray, window: int) -> np.ndarray:
+    """Places of the values that are the least of some `window` in a row."""
+    width = min(window, len(values))
+    around = np.lib.stride_tricks.sliding_window_view(values, width)
+    return np.unique(np.arange(len(values) - width + 1) + around.argmin(1))
+
+
 def minimizers(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, position) of the kept seeds of a word sequence."""
     n = len(h) - SEED + 1
@@ -67,9 +74,7 @@ def minimizers(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for j in range(SEED):
         seed = (seed ^ h[j : j + n]) * _MULTIPLIER
         seed ^= seed >> np.uint64(31)
-    width = min(WINDOW, n)
-    around = np.lib.stride_tricks.sliding_window_view(seed, width)
-    at = np.unique(np.arange(n - width + 1) + around.argmin(1))
+    at = kept_least(seed, WINDOW)
     return seed[at], at
 
 
@@ -99,21 +104,28 @@ def repeats(seed: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _mixed(seed[1:][same], gap[same].astype(np.uint64), number[same].astype(np.uint64)), at[1:][same]
 
 
-def seeds_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, position) of all that is linked in a word sequence: its minimizers,
-    each RUN of them in a row, at its first, and series of equal ones.
+def seeds_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, position, span) of all that is linked in a word sequence: its
+    minimizers, runs of RUN of them, at the first, and series of equal ones.
 
-    Only holders of the whole run meet under its hash, whatever other documents
-    hold its seeds one by one.
+    A run has the distances of its seeds in its hash, and its span to the last of
+    them, so one that is shared is two links; only holders of the whole run meet
+    under it, whatever other documents hold its seeds one by one.
     """
     seed, at = minimizers(h)
     n = max(0, len(seed) - RUN + 1)
-    runs = _mixed(*(seed[j : j + n] for j in range(RUN)))
     again, again_at = repeats(seed, at)
-    return np.r_[seed, runs, again], np.r_[at, at[:n], again_at]
+    if n:
+        gaps = [(at[j + 1 : j + 1 + n] - at[j : j + n]).astype(np.uint64) for j in range(RUN - 1)]
+        runs = _mixed(*(seed[j : j + n] for j in range(RUN)), *gaps)
+        kept = kept_least(runs, RUNS_WINDOW)
+        runs, begin, span = runs[kept], at[kept], (at[RUN - 1 :] - at[:n])[kept]
+    else:
+        runs, begin, span = seed[:0], at[:0], at[:0]
+    return np.r_[seed, runs, again], np.r_[at, begin, again_at], np.r_[np.zeros_like(at), span, np.zeros_like(again_at)]
 
 
-def star(hash_: np.ndarray, doc: np.ndarray, pos: np.ndarray):
+def star(hash_: np.ndarray, doc: np.ndarray):
     """Links of equal seeds, in rows sorted by (hash, doc, pos).
 
     Places (row, partner): each row with the first of its hash and with the one
@@ -129,12 +141,21 @@ def star(hash_: np.ndarray, doc: np.ndarray, pos: np.ndarray):
     return first, np.r_[to_first, to_before], np.r_[center[to_first], before[to_before]]
 
 
-def _rows(hash_, doc, pos, center, center_pos) -> pa.RecordBatch:
-    n = len(doc)
-    none = pa.nulls(n, pa.int64())
+def _seed_rows(hash_, doc, pos, span) -> pa.RecordBatch:
+    none = pa.nulls(len(doc), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(hash_.view(np.int64)), pa.array(doc, pa.int64()), pa.array(pos, pa.int32()), pa.array(span, pa.int32()), none, none.cast(pa.int32())], ["hash", "doc", "pos", "span", "center", "center_pos"])
+
+
+def _link_rows(doc, pos, span, row, to) -> pa.RecordBatch:
+    """Links of rows to others, each once; those of runs at both ends."""
+    run = span[row] > 0
+    row, to, add = np.r_[row, row[run]], np.r_[to, to[run]], np.r_[np.zeros(len(row), np.int64), span[row[run]]]
+    _, once = np.unique(_mixed(*(v.astype(np.uint64) for v in (doc[row], pos[row] + add, doc[to], pos[to] + add))), return_index=True)
+    row, to, add = row[once], to[once], add[once]
+    none = pa.nulls(len(row), pa.int64())
     return pa.RecordBatch.from_arrays(
-        [none if hash_ is None else pa.array(hash_.view(np.int64)), pa.array(doc, pa.int64()), pa.array(pos, pa.int32()), none if center is None else pa.array(center, pa.int64()), pa.nulls(n, pa.int32()) if center is None else pa.array(center_pos, pa.int32())],
-        ["hash", "doc", "pos", "center", "center_pos"],
+        [none, pa.array(doc[row], pa.int64()), pa.array(pos[row] + add, pa.int32()), none.cast(pa.int32()), pa.array(doc[to], pa.int64()), pa.array(pos[to] + add, pa.int32())],
+        ["hash", "doc", "pos", "span", "center", "center_pos"],
     )
 
 
@@ -148,26 +169,26 @@ def local_seeds(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         hashes = WordHashes()
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray]]] = []
         size = 0
 
         def linked():
-            h, d, p = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((p, d, h))
-            h, d, p = h[order], d[order], p[order]
-            first, row, to = star(h, d, p)
-            yield _rows(h[first], d[first], p[first], None, None)
+            held.sort(key=lambda x: x[0])  # with a stable sort by hash, rows are in order of (hash, doc, pos)
+            h, p, n = (np.concatenate(x) for x in zip(*(own for _, own in held)))
+            d = np.repeat(np.array([doc for doc, _ in held], np.int64), [len(own[0]) for _, own in held])
+            order = np.argsort(h, kind="stable")
+            h, d, p, n = h[order], d[order], p[order], n[order]
+            first, row, to = star(h, d)
+            yield _seed_rows(h[first], d[first], p[first], n[first])
             if len(row):
-                _, once = np.unique(_mixed(*(v.astype(np.uint64) for v in (d[row], p[row], d[to], p[to]))), return_index=True)
-                row, to = row[once], to[once]  # a run's link may be a seed's
-                yield _rows(None, d[row], p[row], d[to], p[to])
+                yield _link_rows(d, p, n, row, to)
 
         for b in batches:
             for doc, text in zip(b.column("doc").to_pylist(), bytes_of(b, "text")):
-                h, at = seeds_of(hashes(words_of(text)))
-                if len(h):
-                    held.append((h, np.full(len(h), doc, np.int64), at))
-                    size += len(h)
+                own = seeds_of(hashes(words_of(text)))
+                if len(own[0]):
+                    held.append((doc, own))
+                    size += len(own[0])
                 if size >= _AT_ONCE:
                     yield from linked()
                     held, size = [], 0
@@ -186,19 +207,19 @@ def shared_links(seeds: DataFrame) -> DataFrame:
     def run(batches):
         gone_on = []  # first and last row of the group that may go on
         for b in batches:
-            h, d, p = (b.column(c).to_numpy() for c in ("hash", "doc", "pos"))
+            h, d, p, n = (b.column(c).to_numpy().astype(t) for c, t in (("hash", np.int64), ("doc", np.int64), ("pos", np.int64), ("span", np.int64)))
             if not len(h):
                 continue
             gone_on = [r for r in gone_on if r[0] == h[0]]
-            n = len(gone_on)
-            if n:
-                h, d, p = (np.r_[np.array([r[i] for r in gone_on], x.dtype), x] for i, x in enumerate((h, d, p)))
-            first, row, to = star(h, d, p)
-            row, to = row[row >= n], to[row >= n]  # the earlier rows have had their links
+            old = len(gone_on)
+            if old:
+                h, d, p, n = (np.r_[np.array([r[i] for r in gone_on], x.dtype), x] for i, x in enumerate((h, d, p, n)))
+            first, row, to = star(h, d)
+            row, to = row[row >= old], to[row >= old]  # the earlier rows have had their links
             if len(row):
-                yield _rows(None, d[row], p[row], d[to], p[to])
+                yield _link_rows(d, p, n, row, to)
             begin = int(np.flatnonzero(first)[-1])
-            gone_on = [(h[i], d[i], p[i]) for i in dict.fromkeys((begin, len(h) - 1))]
+            gone_on = [(h[i], d[i], p[i], n[i]) for i in dict.fromkeys((begin, len(h) - 1))]
 
     return seeds.repartition("hash").sortWithinPartitions("hash", "doc", "pos").mapInArrow(run, SEEDS)
 
@@ -477,6 +498,9 @@ def aligned(found: DataFrame, docs: DataFrame, least: int, most_edits: float) ->
         return blocks.select("chain", "side", F.col(doc).alias("doc"), "block", anchors.alias("anchors"))
 
     wanted = asked("doc", "d_from", "d_to", 0).unionByName(asked("center", "c_from", "c_to", 1))
+    holders = found.select("doc").unionByName(found.select(F.col("center").alias("doc"))).distinct()
+    if holders.count() <= FEW_ROWS:  # else all documents' blocks go to the join
+        docs = docs.join(F.broadcast(holders), "doc", "left_semi")
     met = wanted.join(word_blocks(docs), ["doc", "block"]).select("chain", "side", "block", "doc", "words", "anchors")
 
     def run(batches):
@@ -536,4 +560,5 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     links = seeds.filter("center is not null").unionByName(shared_links(seeds.filter("center is null")))
     found = chained(links, least)
     found = written(found.withColumn("chain", F.xxhash64(*[F.col(c.split()[0]) for c in CHAINS.split(", ")])), "chains")
+    discard(seeds)
     return aligned(found, own, least, most_edits)

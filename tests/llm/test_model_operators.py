@@ -514,20 +514,119 @@ def test_against_sql(spark, name):
 
 
 def test_seed_links_do_not_depend_on_batches(spark):
-    rows = [(R.randrange(12), R.randrange(9), R.randrange(5)) for _ in range(400)]
-    rows = sorted(set(rows))
-    seeds = spark.createDataFrame([(h, d, p, None, None) for h, d, p in rows], substring_dedup.SEEDS)
+    rows = [(R.randrange(12), R.randrange(9), R.randrange(5), R.choice([0, 0, 7])) for _ in range(400)]
+    rows = sorted({r[:3]: r for r in rows}.values())
+    rows = [(h, d, p, 7 * (h % 2)) for h, d, p, _ in rows]
+    seeds = spark.createDataFrame([(*r, None, None) for r in rows], substring_dedup.SEEDS)
 
     def links(batch):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
-        return sorted((r["doc"], r["pos"], r["center"], r["center_pos"]) for r in substring_dedup.shared_links(seeds).collect())
+        return {(r["doc"], r["pos"], r["center"], r["center_pos"]) for r in substring_dedup.shared_links(seeds).collect()}
 
     one_by_one, whole = links(1), links(10_000)
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    want = []
+    want = set()
     for h in range(12):
-        own = [(d, p) for x, d, p in rows if x == h]
+        own = [(d, p) for x, d, p, _ in rows if x == h]
         for before, (d, p) in zip(own, own[1:]):
-            want += [(d, p, *own[0])] if d != own[0][0] else []
-            want += [(d, p, *before)] if d != before[0] != own[0][0] else []
-    assert one_by_one == whole == sorted(want)
+            for c, q in {own[0] if d != own[0][0] else None, before if d != before[0] != own[0][0] else None} - {None}:
+                want |= {(d, p, c, q)} | ({(d, p + 7, c, q + 7)} if h % 2 else set())
+    assert one_by_one == whole == want
+
+
+def test_equal_words_share_a_run():
+    r = np.random.default_rng(12)
+    for _ in range(400):
+        shared = r.integers(0, 1 << 62, 44).astype(np.uint64)
+        keys = []
+        for _ in range(2):
+            before, after = (r.integers(0, 1 << 62, r.integers(0, 40)).astype(np.uint64) for _ in range(2))
+            h, at, span = substring_dedup.seeds_of(np.r_[before, shared, after])
+            keys.append({(int(x), int(p) - len(before), int(n)) for x, p, n in zip(h, at, span) if n})
+        assert keys[0] & keys[1]
+
+
+def exact_runs(a, b, least):
+    """Maximal stretches of `least` equal words or more, as (start in a, start in b, length)."""
+    out, places = [], {}
+    for j, w in enumerate(b):
+        places.setdefault(w, []).append(j)
+    for i in range(len(a)):
+        for j in places.get(a[i], []):
+            if i and j and a[i - 1] == b[j - 1]:
+                continue
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+            if n >= least:
+                out.append((i, j, n))
+    return out
+
+
+def groups_of(rows, docs):
+    group = {d: d for d in docs}
+    for r in rows:
+        old, new = group[r["doc_id"]], group[r["other_id"]]
+        group = {d: new if g == old else g for d, g in group.items()}
+    return sorted(sorted(d for d in docs if group[d] == g) for g in set(group.values()))
+
+
+def test_query_against_brute_force_in_any_layout(spark, tmp_path):
+    """Every stretch of over 50 equal words of two documents is reported in both, by rows that
+    are within the edits allowed, and the groups are the same in 1, 4 and 16 partitions."""
+    from spindex.llm.queries import op5_substring_dedup
+
+    fresh = lambda n: [f"b{R.randrange(10**7)}" for _ in range(n)]
+    passages = [fresh(R.choice([51, 70, 150, 400])) for _ in range(12)]
+    docs = {}
+    for d in range(90):
+        words = fresh(R.randint(5, 120))
+        for i in R.sample(range(12), R.choice([0, 1, 1, 2, 3])):  # one twice in a document is a limit of the README's
+            p, kind = list(passages[i]), R.random()
+            if kind < 0.3:
+                p = p[: R.randint(51, len(p))]
+            elif kind < 0.5:
+                for _ in range(len(p) // 12):
+                    at = R.randrange(len(p))
+                    p[at : at + R.randint(0, 1)] = fresh(R.randint(0, 2))
+            words += p + fresh(R.randint(0, 150))
+        docs[300 + d] = words
+    for n, (gap, size) in enumerate(((30, 1000), (60, 1000), (150, 1000), (30, 5000), (60, 5000), (150, 5000))):  # a part moved out, another put in
+        base = fresh(size)
+        docs[1000 + 2 * n], docs[1001 + 2 * n] = base, base[: size // 4] + fresh(gap) + base[size // 4 : size // 2] + base[size // 2 + gap :]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    seen = []
+    for parts in (1, 4, 16):
+        path = tmp_path / str(parts)
+        df.repartition(parts).write.parquet(f"{path}/documents.parquet")
+        found = op5_substring_dedup(spark, str(path)).collect()
+        seen.append(groups_of(found, docs))
+        covered = {}
+        for r in found:
+            a, b = docs[r["doc_id"]][r["start"] : r["end"]], docs[r["other_id"]][r["other_start"] : r["other_end"]]
+            if parts == 1:
+                assert min(len(a), len(b)) >= 40 and levenshtein_of(a, b) == r["edits"] <= 0.2 * max(len(a), len(b))
+            covered.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+            covered.setdefault(r["other_id"], set()).update(range(r["other_start"], r["other_end"]))
+        ids = sorted(docs)
+        for i, x in enumerate(ids):
+            for y in ids[:i]:
+                for a, b, n in exact_runs(docs[x], docs[y], 51):
+                    assert set(range(a, a + n)) <= covered.get(x, set()) and set(range(b, b + n)) <= covered.get(y, set()), (parts, x, y, a, b, n)
+        for n in range(6):
+            whole = [r for r in found if r["doc_id"] == 1001 + 2 * n]
+            gap, size = ((30, 1000), (60, 1000), (150, 1000), (30, 5000), (60, 5000), (150, 5000))[n]
+            if 2 * gap <= 0.2 * size:  # else its equal parts, as above
+                assert [r["edits"] for r in whole] == [2 * gap]
+    assert seen[0] == seen[1] == seen[2]
+
+
+def levenshtein_of(a, b):
+    """The same as `levenshtein`, a row at a time for long sequences."""
+    ids = {w: i for i, w in enumerate(dict.fromkeys([*a, *b]))}
+    x, y = np.array([ids[w] for w in a]), np.array([ids[w] for w in b])
+    row, steps = np.arange(len(y) + 1), np.arange(len(y) + 1)
+    for i, w in enumerate(x, 1):
+        best = np.r_[i, np.minimum(row[:-1] + (y != w), row[1:] + 1)]
+        row = np.minimum.accumulate(best - steps) + steps
+    return int(row[-1])
