@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -16,6 +14,8 @@ WORDS = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65
 
 #: Item words in one automaton: about 200 bytes a word in every Python worker.
 BLOCK_WORDS = 150_000
+#: Bytes of texts that are held while several automata read them in turn.
+HELD_BYTES = 64 << 20
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -171,8 +171,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     item.  `hit_spans` are the merged word intervals [start, end) that windows
     cover; `hit_items` the ids of the items whose windows occur, in order.  The
     items go to the executors in automata of `block_words` words at most; with
-    more items than that, the documents pass the automata one after another.
-    There is no shuffle.
+    more items than that, a task loads one automaton after another, each for
+    HELD_BYTES of texts, so it never holds two.  The driver too builds and holds
+    one at a time.  There is one pass over the documents and no shuffle.
 
     Null or wordless text: no words, no hits.  Null item text: no window; null
     item ids count for hits alone.  Repeated rows are treated each; repeated
@@ -182,10 +183,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     spark = docs.sparkSession
     bounded_batches(spark)
     out = docs.drop(words_col, spans_col, items_col).withColumns({words_col: F.lit(0).cast("long"), spans_col: F.array().cast(SPANS), items_col: F.array().cast("array<long>")})
-    blocks = item_blocks(benchmark, item_id_col, item_text_col, block_words)
-    for block in itertools.chain([next(blocks, [])], blocks):  # one at least, which counts the words
-        out = _pass(out, spark.sparkContext.broadcast(SuffixAutomaton(block, window)), text_col, words_col, spans_col, items_col)
-    return out
+    context = spark.sparkContext
+    automata = [context.broadcast(SuffixAutomaton(block, window)) for block in item_blocks(benchmark, item_id_col, item_text_col, block_words)]
+    return _pass(out, automata or [context.broadcast(SuffixAutomaton([], window))], text_col, words_col, spans_col, items_col)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -198,21 +198,37 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _pass(docs: DataFrame, automaton, text_col: str, words_col: str, spans_col: str, items_col: str) -> DataFrame:
+def _pass(docs: DataFrame, automata: list, text_col: str, words_col: str, spans_col: str, items_col: str) -> DataFrame:
+    def loaded():
+        """The automata, one after another; of several, none is kept."""
+        for a in automata:
+            yield a.value if len(automata) == 1 else a.load_from_path(a._path)
+
+    def marked(held: list[pa.RecordBatch]):
+        texts = [[words_of(t) for t in bytes_of(b, text_col)] for b in held]
+        spans: list[list[list]] = [[[] for _ in own] for own in texts]
+        items: list[list[set]] = [[set() for _ in own] for own in texts]
+        for sam in loaded():
+            for own, hits, found in zip(texts, spans, items):
+                for i, words in enumerate(own):
+                    hit, which = sam.matches(words)
+                    if hit:
+                        hits[i] += hit
+                        found[i].update(sam.items[w] for w in which if sam.items[w] is not None)
+        for b, own, hits, found in zip(held, texts, spans, items):
+            new = {words_col: [len(w) for w in own], spans_col: [[{"start": s, "end": e} for s, e in merged(h)] for h in hits], items_col: [sorted(f) for f in found]}
+            yield pa.RecordBatch.from_arrays([pa.array(new[c], b.column(c).type) if c in new else b.column(c) for c in b.schema.names], schema=b.schema)
+
     def run(batches):
-        sam = automaton.value
+        held, size = [], 0
         for b in batches:
-            names = b.schema.names
-            n_words, spans, items = [], [], []
-            before = list(zip(b.column(spans_col).to_pylist(), b.column(items_col).to_pylist()))
-            for text, (had, had_items) in zip(bytes_of(b, text_col), before):
-                words = words_of(text)
-                hit, which = sam.matches(words)
-                n_words.append(len(words))
-                spans.append([{"start": s, "end": e} for s, e in merged(hit + [(x["start"], x["end"]) for x in had])])
-                items.append(sorted({sam.items[i] for i in which if sam.items[i] is not None}.union(had_items)))
-            new = {words_col: n_words, spans_col: spans, items_col: items}
-            yield pa.RecordBatch.from_arrays([pa.array(new[c], b.column(c).type) if c in new else b.column(c) for c in names], schema=b.schema)
+            held.append(b)
+            size += b.nbytes
+            if len(automata) == 1 or size >= HELD_BYTES:
+                yield from marked(held)
+                held, size = [], 0
+        if held:
+            yield from marked(held)
 
     return docs.mapInArrow(run, docs.schema)
 

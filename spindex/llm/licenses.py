@@ -5,9 +5,13 @@ Only DataFrame functions: the scan stays in the JVM.
 
 from __future__ import annotations
 
+import functools
+import pathlib
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# Texts of short licences and notices, and the words that licences spell in two ways.
+# Texts of short licences and notices (those of longer ones, as published, are in
+# license_texts), and the words that licences spell in two ways.
 KNOWN = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -54,23 +58,36 @@ SPELLINGS = {
     "recognised": "recognized", "utilisation": "utilization", "whilst": "while", "wilful": "willful", "merchantibility": "merchantability",
     "noncommercial": "non commercial", "noninfringement": "non infringement", "http": "https",
 }
-#: Lines that only state a copyright, and what is no letter or digit among ASCII.
-RIGHTS = r"^[ \t#*/;-]*(?:copyright\b|\(c\)|©)[^\n]*$|^[ \t#*/;-]*all rights reserved\.?[ \t\r]*$"
+#: Lines that state a copyright: the word or sign with a sign, a year or a place for one after it, or
+#: the word with a holder's usual ending; and those that reserve all rights.
+_BEFORE = r"^[ \t#*/;-]*"
+_YEAR = r"[ \t]*[,:]?[ \t]*(?:\(c\)|©|[0-9]{4}|[<\[{])"
+_HOLDER = r"[ \t][^\n]*(?:authors|contributors|foundation|inc|ltd|llc|gmbh|corp|corporation|company|university|all rights reserved)[.,]?[ \t\r]*$"
+RIGHTS = rf"{_BEFORE}copyright(?:{_YEAR}[^\n]*$|{_HOLDER})|{_BEFORE}\(c\)[ \t]*[0-9]{{4}}[^\n]*$|{_BEFORE}©[^\n]*$|{_BEFORE}all rights reserved\.?[ \t\r]*$"
+#: Numbers and letters of a list, at a line's begin.
+LISTED = rf"{_BEFORE}\(?(?:[0-9]{{1,2}}|[a-z])[.)][ \t]+"
 MARKS = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 TITLE = f"^(?:{'|'.join(sorted(TITLES, key=len, reverse=True))}) "
 
 
+@functools.cache
+def known_texts() -> dict[str, str]:
+    """All known licences: the short ones above and those of license_texts."""
+    folder = pathlib.Path(__file__).parent / "license_texts"
+    return KNOWN | {p.stem: p.read_text() for p in sorted(folder.glob("*.txt"))}
+
+
 def canonical(text: Column) -> Column:
     """The text in the form whose digest is looked up.
 
     ASCII letters in lower case; lines that only state a copyright or reserve all
-    rights dropped; every run of ASCII characters but letters and digits one space;
+    rights dropped; numbers of a list dropped; every run of ASCII characters but letters and digits one space;
     spellings of SPELLINGS by their American form; a leading licence title
     dropped; trimmed.
     """
     low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     lines = F.regexp_replace(low, f"(?md){RIGHTS}", "")
-    words = F.regexp_replace(lines, MARKS, " ")
+    words = F.regexp_replace(F.regexp_replace(lines, f"(?md){LISTED}", " "), MARKS, " ")
     found = F.concat(F.lit(" "), F.trim(words), F.lit(" "))
     two_ways = "|".join(sorted(SPELLINGS))
     spelled = found
@@ -83,9 +100,9 @@ def canonical(text: Column) -> Column:
 
 def canonical_sql(text: str) -> str:
     """`canonical` in DuckDB's SQL."""
-    quoted = [x.replace("'", "''") for x in (RIGHTS, MARKS, TITLE)]
+    quoted = [x.replace("'", "''") for x in (RIGHTS, MARKS, TITLE, LISTED)]
     low = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    out = f"' ' || trim(regexp_replace(regexp_replace({low}, '(?m){quoted[0]}', '', 'g'), '{quoted[1]}', ' ', 'g'), ' ') || ' '"
+    out = f"' ' || trim(regexp_replace(regexp_replace(regexp_replace({low}, '(?m){quoted[0]}', '', 'g'), '(?m){quoted[3]}', ' ', 'g'), '{quoted[1]}', ' ', 'g'), ' ') || ' '"
     for other, american in SPELLINGS.items():
         for _ in range(2):
             out = f"replace({out}, ' {other} ', ' {american} ')"
@@ -98,7 +115,7 @@ def digest(text: Column) -> Column:
 
 def known_licenses(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
     """(license_id, license_digest) of the known licences; one row for each digest."""
-    parts = [F.struct(F.lit(k).alias("license_id"), F.lit(v).alias("text")) for k, v in (KNOWN if texts is None else texts).items()]
+    parts = [F.struct(F.lit(k).alias("license_id"), F.lit(v).alias("text")) for k, v in (known_texts() if texts is None else texts).items()]
     rows = spark.range(1).select(F.explode(F.array(*parts)).alias("l")).select("l.license_id", digest(F.col("l.text")).alias("license_digest"))
     return rows.groupBy("license_digest").agg(F.min("license_id").alias("license_id"))
 

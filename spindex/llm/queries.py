@@ -35,9 +35,9 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op3_sql() -> str:
-    from spindex.llm.licenses import KNOWN, canonical_sql
+    from spindex.llm.licenses import canonical_sql, known_texts
 
-    values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in KNOWN.items())
+    values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in known_texts().items())
     known = f"SELECT sha256({canonical_sql('body')}) AS digest, min(id) AS license_id FROM (VALUES {values}) AS l(id, body) GROUP BY 1"
     return (
         f"WITH known AS ({known}), scanned AS (SELECT doc_id, sha256({canonical_sql('text')}) AS text_digest FROM documents) "

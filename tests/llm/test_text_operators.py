@@ -267,6 +267,78 @@ def test_licenses(spark):
     assert licenses.scan_licenses(odd(spark), own).filter("license_id = 'own'").count() == 2
 
 
+HEADS = ["Copyright (c) 2020, Somebody Else", "Copyright 1999-2004 The Foo Authors", "  Copyright \u00a9 Foo Inc. All rights reserved.", "(c) 2011 by me", "# Copyright [yyyy] [name of copyright owner]", "Copyright The Foo Contributors", "\u00a9 2001 X"]
+#: Wrapped as these are found most often.
+WRAPPED = {
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR
+OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+* Redistributions of source code must retain the above
+copyright notice, this list of conditions and the following disclaimer.
+* Redistributions in binary form must reproduce the above copyright notice,
+  this list of conditions and the following disclaimer in the documentation
+  and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE
+COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO
+EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT,
+INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING,
+BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE,
+DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY
+OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING
+NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE,
+EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+}
+
+
+def license_rows():
+    """(text, licence): each known text as published, under a head, in capitals, commented, wrapped anew, and cut short."""
+    rows = []
+    for k, (name, text) in enumerate(sorted(licenses.known_texts().items())):
+        head = HEADS[k % len(HEADS)]
+        lines = text.strip().split("\n")
+        rows += [(text, name), (f"{head}\n\n{text}\n", name), ("\n".join("// " + x for x in [head, "", *lines]), name), (text.upper() if "\n\n" in text else text, name), (" ".join(text.split()[:-3]), None), (text + " And more.", None)]
+    return rows + [(HEADS[k % len(HEADS)] + "\n\n" + t, name) for k, (name, t) in enumerate(WRAPPED.items())]
+
+
+def test_known_licenses_in_published_form_and_in_sql(spark, tmp_path):
+    """The query and its SQL over texts that match; the driver's table has none."""
+    import duckdb
+
+    from spindex.llm.queries import ORACLE_SQL, op3_licenses
+
+    rows = license_rows()
+    assert len(licenses.known_texts()) >= 20
+    table = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)] + [(1000 + i, t) for i, (_, t) in enumerate(ODD)], "doc_id long, text string")
+    table.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["text_digest"], r["license_id"]) for r in op3_licenses(spark, str(tmp_path)).collect()}
+    wrong = [(rows[i][1], got[i][1], rows[i][0][:60]) for i in range(len(rows)) if got[i][1] != rows[i][1]]
+    assert not wrong, wrong
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert {d: (x, y) for d, x, y in con.execute(f"SELECT doc_id, text_digest, license_id FROM ({ORACLE_SQL['op3_licenses']})").fetchall()} == got
+
+
+def test_body_lines_that_begin_with_copyright_stay(spark):
+    body = ["copyright notice and this permission notice", "COPYRIGHT HOLDERS BE LIABLE", "Copyright Holder", "copyright license to reproduce", "(c) You must retain, in the source form", "copyright law.", "copyright interest in the software"]
+    rows = [(t, False) for t in body] + [(t, True) for t in HEADS]
+    got = spark.createDataFrame(rows, "text string, gone boolean").withColumn("c", licenses.canonical(F.concat(F.lit("before\n"), F.col("text"), F.lit("\nafter"))))
+    assert [(r["text"], r["c"]) for r in got.collect() if (r["c"] == "before after") != r["gone"]] == []
+
+
 def test_licenses_stay_in_the_jvm(spark):
     plan = licenses.scan_licenses(odd(spark))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -275,7 +347,7 @@ def test_licenses_stay_in_the_jvm(spark):
 def test_licenses_sql_agrees(spark):
     import duckdb
 
-    texts = [x[1] or "" for x in ODD] + list(licenses.KNOWN.values()) + ["Copyright 2020 X\nwhilst LICENCE licence http://a\n(c) me\nfavour favour"]
+    texts = [x[1] or "" for x in ODD] + list(licenses.known_texts().values()) + ["Copyright 2020 X\nwhilst LICENCE licence http://a\n(c) me\nfavour favour"]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
     got = [r[0] for r in df.select(licenses.canonical(F.col("text")), "i").orderBy("i").collect()]
     con = duckdb.connect()
@@ -328,6 +400,18 @@ def test_decontamination(spark, block_words):
     assert got[21][2] == [2] and got[22][1] == [(0, 13)] and not got[23][1]
 
 
+def test_many_blocks_are_one_stage(spark):
+    items = [(i, " ".join(R.choice(VOCABULARY) for _ in range(40))) for i in range(50)]
+    texts = {i: t.split() for i, t in items}
+    rows = [(100 + k, " ".join([*R.sample(VOCABULARY, 30), *sum((texts[i][a : a + 15] for i, a in picks), []), *R.sample(VOCABULARY, 30)])) for k in range(40) for picks in [[(R.randrange(50), R.randrange(25)) for _ in range(R.randrange(4))]]]
+    found = decontamination.decontaminate(odd(spark, ODD + rows), spark.createDataFrame(items, "item_id long, text string"), block_words=40)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    own = [(i, decontamination.words_of(t.encode())) for i, t in items]
+    for r in found.filter("doc_id >= 100").collect():
+        hit, which = brute_windows(own, decontamination.words_of(r["text"].encode()), 13)
+        assert {p for s in r["hit_spans"] for p in range(s["start"], s["end"])} == hit and r["hit_items"] == sorted(which)
+
+
 def test_remove_benchmark(spark):
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
     light = LONG + " start " + " ".join(VOCABULARY[0:20]) + " stop"
