@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -108,115 +109,196 @@ def mux(payload: bytes) -> bytes:
     return b"".join(parts)
 
 
+#: Stream ids whose elementary packets have no header fields after their length; padding is one of them.
+BARE_IDS, PADDING_ID = frozenset((0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF)), 0xBE
+
+
 @dataclass
-class Demuxed:
-    """What `demux` finds in a stream."""
+class Stream:
+    """An elementary stream and what serves to seek in it."""
 
+    pid: int
+    kind: int = 0
+    program: int = 0
     payload: bytes = b""
-    programs: dict[int, int] = field(default_factory=dict)  # number: PID of its table
-    streams: dict[int, int] = field(default_factory=dict)  # PID: type
-    packets: int = 0
-    timestamps: list[int] = field(default_factory=list)  # of each elementary packet; -1 without
+    timestamps: list[int] = field(default_factory=list)  # presentation, of each elementary packet; -1 without
+    decode_timestamps: list[int] = field(default_factory=list)  # the same where there is none of its own
     starts: list[int] = field(default_factory=list)  # payload byte at which each begins
     random_access: list[int] = field(default_factory=list)  # numbers of elementary packets
+    broken_units: int = 0
+
+
+@dataclass
+class Demuxed:
+    """What `demux` finds in a transport stream."""
+
+    programs: dict[int, int] = field(default_factory=dict)  # number: PID of its table
+    streams: dict[int, Stream] = field(default_factory=dict)  # by PID, the lowest first
+    packets: int = 0
     clocks: list[int] = field(default_factory=list)
     sync_errors: int = 0
     counter_errors: int = 0
     crc_errors: int = 0
-    broken_units: int = 0
+
+    @property
+    def first(self) -> Stream:
+        return next(iter(self.streams.values()), Stream(0))
+
+
+def _stamp_of(t: bytes) -> int:
+    return (t[0] >> 1 & 7) << 30 | t[1] << 22 | t[2] >> 1 << 15 | t[3] << 7 | t[4] >> 1
+
+
+class _Packets:
+    """The constant packets of a stream, as columns."""
+
+    def __init__(self, stream: bytes, out: Demuxed):
+        n = len(stream) // PACKET
+        self.p = p = np.frombuffer(stream, np.uint8, n * PACKET).reshape(n, PACKET)
+        self.pid = (p[:, 1].astype(np.int32) & 0x1F) << 8 | p[:, 2]
+        self.begins = p[:, 1] & 0x40 > 0
+        control = p[:, 3] >> 4 & 3
+        bad = (p[:, 0] != SYNC) | (p[:, 1] & 0x80 > 0) | (p[:, 3] >> 6 > 0)
+        out.sync_errors += int(bad.sum())
+        field_size = np.where(control & 2, p[:, 4].astype(np.int32), -1)
+        #: Flags of the adaptation field; where the payload begins.
+        self.flags = np.where(field_size > 0, p[:, 5], 0)
+        self.begin = 5 + field_size
+        self.good = ~bad
+        self.data = ~bad & (control & 1 > 0) & (self.begin < PACKET) & (self.pid != NULL_PID)
+        #: Packets before which one of the same PID is missing.
+        self.gap = np.zeros(n, bool)
+        for x in np.unique(self.pid[self.data]):
+            at = np.flatnonzero(self.data & (self.pid == x))
+            count = p[at, 3] & 15
+            same = np.r_[False, (count[1:] == count[:-1]) & (p[at[1:]] == p[at[:-1]]).all(1)]
+            self.data[at[same]] = False
+            at, count = at[~same], count[~same]
+            told = self.flags[at[1:]] & 0x80 > 0  # a break that the stream itself announces
+            self.gap[at[1:]] = (count[1:] != (count[:-1] + 1 & 15)) & ~told
+        out.counter_errors += int(self.gap.sum())
+
+    def of(self, pid: int) -> np.ndarray:
+        return np.flatnonzero(self.data & (self.pid == pid))
+
+    def body(self, at: np.ndarray) -> bytes:
+        """The payloads of some packets, joined."""
+        if not len(at):
+            return b""
+        whole = self.begin[at] == 4
+        if whole.all():
+            return (self.p[at[0] : at[-1] + 1, 4:] if at[-1] - at[0] + 1 == len(at) else self.p[at, 4:]).tobytes()
+        if len(at) > 2 and whole[1:-1].all():
+            return self.p[at[0], self.begin[at[0]] :].tobytes() + self.body(at[1:-1]) + self.p[at[-1], self.begin[at[-1]] :].tobytes()
+        return b"".join(self.p[i, self.begin[i] :].tobytes() for i in at)
+
+
+def sections(packets: _Packets, pid: int, out: Demuxed) -> Iterator[bytes]:
+    """Current table sections of a PID with a right CRC, joined over packets; others are counted."""
+    held, begun = b"", False
+
+    def whole(data: bytes) -> tuple[list[bytes], bytes]:
+        found = []
+        while len(data) >= 3 and data[0] != 0xFF:
+            size = 3 + ((data[1] & 15) << 8 | data[2])
+            if len(data) < size:
+                break
+            found.append(data[:size])
+            data = data[size:]
+        return found, b"" if data[:1] == b"\xff" else data
+
+    def right(found: list[bytes], rest: bytes) -> list[bytes]:
+        kept = [s for s in found if len(s) >= 12 and not section_crc(s)]
+        out.crc_errors += len(found) - len(kept) + (len(rest) > 0)
+        return [s for s in kept if s[5] & 1]
+
+    for i in packets.of(pid):
+        if packets.gap[i] and held:
+            out.crc_errors += 1
+            held, begun = b"", False
+        body = packets.p[i, packets.begin[i] :].tobytes()
+        if packets.begins[i]:
+            before, body = body[1 : 1 + body[0]], body[1 + body[0] :]
+            if begun:
+                yield from right(*whole(held + before))
+            held, begun = b"", True
+        if begun:
+            found, held = whole(held + body)
+            yield from right(found, b"")
+    if held:
+        out.crc_errors += 1
+
+
+def _elementary(packets: _Packets, stream: Stream, out: Demuxed) -> None:
+    """Reassemble the elementary packets of a stream.
+
+    One of declared length is broken if it has another; one of length 0, as most
+    video has, ends where the next begins, and is broken if a packet is missing
+    in it or at its end.
+    """
+    at = packets.of(stream.pid)
+    starts = np.flatnonzero(packets.begins[at])
+    stream.broken_units += int(len(at) > 0 and (not len(starts) or starts[0] > 0))
+    payload, size = [], 0
+    for a, b in zip(starts, np.r_[starts[1:], len(at)]):
+        first, unit = at[a], packets.body(at[a:b])
+        if unit[:3] != b"\0\0\1" or len(unit) < 6:
+            stream.broken_units += 1
+            continue
+        length, bare = int.from_bytes(unit[4:6], "big"), unit[3] in BARE_IDS
+        lost = packets.gap[at[a + 1 : b]].any() or (not length and b < len(at) and packets.gap[at[b]])
+        if lost or (length and len(unit) != 6 + length) or (not bare and (len(unit) < 9 or len(unit) < 9 + unit[8])):
+            stream.broken_units += 1
+            continue
+        if unit[3] == PADDING_ID:
+            continue
+        pts = dts = -1
+        if not bare:
+            if unit[7] & 0x80 and unit[8] >= 5:
+                pts = dts = _stamp_of(unit[9:14])
+            if unit[7] & 0xC0 == 0xC0 and unit[8] >= 10:
+                dts = _stamp_of(unit[14:19])
+        if packets.flags[first] & 0x40:
+            stream.random_access.append(len(stream.timestamps))
+        stream.timestamps.append(pts)
+        stream.decode_timestamps.append(dts)
+        stream.starts.append(size)
+        payload.append(unit[6:] if bare else unit[9 + unit[8] :])
+        size += len(payload[-1])
+    stream.payload = b"".join(payload)
 
 
 def demux(stream: bytes) -> Demuxed:
-    """Read a stream of constant packets with one elementary stream back.
+    """Read a stream of constant packets and all elementary streams that its tables name.
 
-    Program tables are parsed and their CRC checked; continuity counters of each
-    PID are checked, an exact repeat of a packet is dropped; a packet that is
-    flagged faulty, out of step or scrambled is dropped and counted.
+    Program tables are parsed, over several packets too, and their CRC checked;
+    continuity counters of each PID are checked but for announced breaks, an
+    exact repeat of a packet is dropped; a packet that is flagged faulty, out of
+    step or scrambled is dropped and counted.
     """
     out = Demuxed()
-    n = len(stream) // PACKET
-    out.packets = n
+    out.packets = len(stream) // PACKET
     out.sync_errors = int(len(stream) % PACKET > 0)
-    if not n:
+    if not out.packets:
         return out
-    p = np.frombuffer(stream, np.uint8, n * PACKET).reshape(n, PACKET)
-    pid = (p[:, 1].astype(np.int32) & 0x1F) << 8 | p[:, 2]
-    control = p[:, 3] >> 4 & 3
-    bad = (p[:, 0] != SYNC) | (p[:, 1] & 0x80 > 0) | (p[:, 3] >> 6 > 0)
-    out.sync_errors += int(bad.sum())
-    skip = np.where(control & 2, p[:, 4].astype(np.int32) + 1, 0)
-    data = ~bad & (control & 1 > 0) & (skip < PACKET - 4) & (pid != NULL_PID)
-    for x in np.unique(pid[data]):
-        at = np.flatnonzero(data & (pid == x))
-        count = p[at, 3] & 15
-        same = np.r_[False, (count[1:] == count[:-1]) & (p[at[1:]] == p[at[:-1]]).all(1)]
-        data[at[same]] = False
-        count = count[~same]
-        out.counter_errors += int((count[1:] != (count[:-1] + 1 & 15)).sum())
-
-    def sections(of: int):
-        for i in np.flatnonzero(data & (pid == of) & (p[:, 1] & 0x40 > 0)):
-            body = p[i, 4 + skip[i] :].tobytes()
-            body = body[1 + body[0] :]
-            body = body[: 3 + ((body[1] & 15) << 8 | body[2])] if len(body) > 3 else b""
-            if len(body) < 12 or section_crc(body):
-                out.crc_errors += 1
-            else:
-                yield body
-
-    for s in sections(PAT_PID):
+    packets = _Packets(stream, out)
+    for s in sections(packets, PAT_PID, out):
         for i in range(8, len(s) - 4, 4):
             if number := int.from_bytes(s[i : i + 2], "big"):
                 out.programs[number] = int.from_bytes(s[i + 2 : i + 4], "big") & 0x1FFF
-    for table_pid in set(out.programs.values()):
-        for s in sections(table_pid):
+    found: dict[int, Stream] = {}
+    for table_pid in sorted(set(out.programs.values())):
+        for s in sections(packets, table_pid, out):
             i = 12 + (int.from_bytes(s[10:12], "big") & 0xFFF)
             while i < len(s) - 4:
-                out.streams[int.from_bytes(s[i + 1 : i + 3], "big") & 0x1FFF] = s[i]
+                pid = int.from_bytes(s[i + 1 : i + 3], "big") & 0x1FFF
+                found[pid] = Stream(pid, s[i], int.from_bytes(s[3:5], "big"))
                 i += 5 + (int.from_bytes(s[i + 3 : i + 5], "big") & 0xFFF)
-    if not out.streams:
-        return out
-    of = min(out.streams)
-    at = np.flatnonzero(data & (pid == of))
-    starts = np.flatnonzero(p[at, 1] & 0x40)
-    if not len(starts):
-        out.broken_units += int(len(at) > 0)
-        return out
-    out.broken_units += int(starts[0] > 0)
-    begin = 4 + skip[at]
-    full = begin == 4
-    payload = []
-    size = 0
-    for a, b in zip(starts, np.r_[starts[1:], len(at)]):
-        first = at[a]
-        pieces = [p[at[a], begin[a] :].tobytes()]
-        if b - a > 1:
-            inner = slice(a + 1, b - 1)
-            rows = at[inner]
-            if full[inner].all():
-                pieces.append((p[rows[0] : rows[-1] + 1, 4:] if len(rows) and rows[-1] - rows[0] + 1 == len(rows) else p[rows, 4:]).tobytes())
-            else:
-                pieces += [p[i, k:].tobytes() for i, k in zip(rows, begin[inner])]
-            pieces.append(p[at[b - 1], begin[b - 1] :].tobytes())
-        unit = b"".join(pieces)
-        if unit[:3] != b"\0\0\1" or len(unit) < 9 or len(unit) != 6 + int.from_bytes(unit[4:6], "big"):
-            out.broken_units += 1
-            continue
-        stamp = -1
-        if unit[7] & 0x80:
-            t = unit[9:14]
-            stamp = (t[0] >> 1 & 7) << 30 | t[1] << 22 | t[2] >> 1 << 15 | t[3] << 7 | t[4] >> 1
-        if control[first] & 2 and p[first, 4]:
-            flags = p[first, 5]
-            if flags & 0x40:
-                out.random_access.append(len(out.timestamps))
-            if flags & 0x10:
-                out.clocks.append(int.from_bytes(p[first, 6:12].tobytes(), "big") >> 15)
-        out.timestamps.append(stamp)
-        out.starts.append(size)
-        payload.append(unit[9 + unit[8] :])
-        size += len(payload[-1])
-    out.payload = b"".join(payload)
+    out.streams = dict(sorted(found.items()))
+    for own in out.streams.values():
+        _elementary(packets, own, out)
+    for i in np.flatnonzero(packets.good & (packets.flags & 0x10 > 0)):
+        out.clocks.append(int.from_bytes(packets.p[i, 6:12].tobytes(), "big") >> 15)
     return out
 
 
@@ -243,19 +325,23 @@ def to_transport_stream(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
-READ = "payload binary, program int, table_pid int, stream_pid int, stream_type int, packets long, units long, timestamps array<long>, unit_starts array<long>, random_access array<long>, sync_errors long, counter_errors long, crc_errors long, broken_units long"
+_OTHER = "pid int, type int, program int, payload binary, timestamps array<long>, decode_timestamps array<long>, unit_starts array<long>, random_access array<long>, broken_units long"
+READ = "payload binary, program int, table_pid int, stream_pid int, stream_type int, packets long, units long, timestamps array<long>, decode_timestamps array<long>, unit_starts array<long>, random_access array<long>, sync_errors long, counter_errors long, crc_errors long, broken_units long"
+_LONGS = pa.list_(pa.int64())
+_OTHER_TYPE = pa.list_(pa.struct([("pid", pa.int32()), ("type", pa.int32()), ("program", pa.int32()), ("payload", pa.binary()), ("timestamps", _LONGS), ("decode_timestamps", _LONGS), ("unit_starts", _LONGS), ("random_access", _LONGS), ("broken_units", pa.int64())]))
 
 
 def read_transport_stream(media: DataFrame, media_col: str = "media") -> DataFrame:
     """`media` with the parts of each stream in further columns (see READ).
 
-    `timestamps` (90 kHz), `unit_starts` (payload byte) and `random_access`
-    (unit numbers) serve to seek in the payload.  Null media is a stream without
-    packets: empty payload, null tables.  New columns replace those of the same
-    names.
+    `timestamps` and `decode_timestamps` (90 kHz), `unit_starts` (payload byte)
+    and `random_access` (unit numbers) serve to seek in the payload.  These
+    columns are of the elementary stream of the lowest PID; `other_streams` has
+    the same of all others, by PID.  Null media is a stream without packets:
+    empty payload, null tables.  New columns replace those of the same names.
     """
     bounded_batches(media.sparkSession)
-    own = [c.split()[0] for c in READ.split(", ")]
+    own = [*[c.split()[0] for c in READ.split(", ")], "other_streams"]
     kept = media.drop(*own)
 
     def run(batches):
@@ -263,12 +349,14 @@ def read_transport_stream(media: DataFrame, media_col: str = "media") -> DataFra
             rows = []
             for x in bytes_of(b, media_col):
                 d = demux(x)
-                number, table = min(d.programs.items(), default=(None, None))
-                of, kind = min(d.streams.items(), default=(None, None))
-                rows.append((d.payload, number, table, of, kind, d.packets, len(d.timestamps), d.timestamps, d.starts, d.random_access, d.sync_errors, d.counter_errors, d.crc_errors, d.broken_units))
-            types = [pa.binary(), *[pa.int32()] * 4, pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3, *[pa.int64()] * 4]
+                first, *others = d.streams.values() or [None]
+                f = first or Stream(0)
+                number, table = (f.program, d.programs.get(f.program)) if first else min(d.programs.items(), default=(None, None))
+                rest = [dict(pid=s.pid, type=s.kind, program=s.program, payload=s.payload, timestamps=s.timestamps, decode_timestamps=s.decode_timestamps, unit_starts=s.starts, random_access=s.random_access, broken_units=s.broken_units) for s in others]
+                rows.append((f.payload, number, table, first and f.pid, first and f.kind, d.packets, len(f.timestamps), f.timestamps, f.decode_timestamps, f.starts, f.random_access, d.sync_errors, d.counter_errors, d.crc_errors, f.broken_units, rest))
+            types = [pa.binary(), *[pa.int32()] * 4, pa.int64(), pa.int64(), *[_LONGS] * 4, *[pa.int64()] * 4, _OTHER_TYPE]
             new = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *own])
 
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema], READ])
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema], READ, f"other_streams array<struct<{_OTHER.replace(' ', ':').replace(',:', ',')}>>"])
     return kept.mapInArrow(run, schema)

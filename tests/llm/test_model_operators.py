@@ -382,19 +382,20 @@ def test_streams_round_trip():
     for n in [*range(0, 800, 3), 16_383, 16_384, 16_385, 140_000]:
         data = transport_stream.padded(r.bytes(n))
         d = transport_stream.demux(transport_stream.mux(data))
-        assert d.payload == data and len(data) % 64 == 0 and len(data) >= max(64, n)
-        assert (d.sync_errors, d.counter_errors, d.crc_errors, d.broken_units) == (0, 0, 0, 0)
-        assert d.timestamps == [i * 3600 for i in range(len(d.timestamps))] and d.random_access == list(range(0, len(d.timestamps), 8))
-        assert d.programs == {1: 0x1000} and d.streams == {0x100: 6}
+        assert d.first.payload == data and len(data) % 64 == 0 and len(data) >= max(64, n)
+        assert (d.sync_errors, d.counter_errors, d.crc_errors, d.first.broken_units) == (0, 0, 0, 0)
+        assert d.first.timestamps == d.first.decode_timestamps == [i * 3600 for i in range(len(d.first.timestamps))] and d.first.random_access == list(range(0, len(d.first.timestamps), 8))
+        assert d.programs == {1: 0x1000} and {p: x.kind for p, x in d.streams.items()} == {0x100: 6}
+        assert d.clocks == [i * 3600 for i in d.first.random_access]
 
 
 def test_stream_faults_are_counted():
     stream = transport_stream.mux(bytes(range(256)) * 200)
     packets = [stream[i : i + 188] for i in range(0, len(stream), 188)]
     lost = transport_stream.demux(b"".join(packets[:10] + packets[11:]))
-    assert lost.counter_errors == 1 and lost.broken_units == 1
+    assert lost.counter_errors == 1 and lost.first.broken_units == 1
     repeated = transport_stream.demux(b"".join(packets[:10] + packets[9:]))
-    assert repeated.counter_errors == 0 and repeated.payload == bytes(range(256)) * 200
+    assert repeated.counter_errors == 0 and repeated.first.payload == bytes(range(256)) * 200
     torn = bytearray(packets[0])
     torn[10] ^= 1
     assert transport_stream.demux(bytes(torn) + b"".join(packets[1:])).crc_errors == 1
@@ -402,11 +403,133 @@ def test_stream_faults_are_counted():
     assert transport_stream.section_crc(b"123456789") == 0x0376E6E7
 
 
+class Writer:
+    """Packets by the letter of the format, one at a time, apart from the library's writer."""
+
+    def __init__(self):
+        self.counters, self.out = {}, []
+
+    def crc(self, data):
+        c = 0xFFFFFFFF
+        for byte in data:
+            for k in range(8):
+                c = (c << 1 ^ (0x04C11DB7 if (c >> 31 ^ byte >> (7 - k)) & 1 else 0)) & 0xFFFFFFFF
+        return c.to_bytes(4, "big")
+
+    def packet(self, pid, start, body, flags=None, extra=b""):
+        n = self.counters[pid] = (self.counters.get(pid, -1) + 1) % 16
+        room = 184 - len(body)
+        field = b""
+        if flags is not None or room:
+            inner = (bytes([flags or 0]) + extra) if flags is not None or room > 1 else b""
+            field = inner + b"\xff" * (room - 1 - len(inner))
+            field = bytes([len(field)]) + field
+        assert len(field) + len(body) == 184
+        self.out.append(bytes([0x47, start << 6 | pid >> 8, pid & 255, (0x30 if field else 0x10) | n]) + field + body)
+
+    def carry(self, pid, data, flags=None, extra=b""):
+        first = True
+        while data or first:
+            most = 184 - (2 + len(extra) if first and flags is not None else 0)
+            body, data = data[:most], data[most:]
+            self.packet(pid, first, body, flags if first else None, extra if first else b"")
+            first = False
+
+    def section(self, table, key, body):
+        s = bytes([table, 0xB0 | (9 + len(body)) >> 8, 9 + len(body) & 255]) + key.to_bytes(2, "big") + b"\xc1\0\0" + body
+        return s + self.crc(s)
+
+    def table(self, pid, *sections):
+        data = b"\0" + b"".join(sections)
+        data += b"\xff" * (-len(data) % 184)
+        for i in range(0, len(data), 184):
+            self.packet(pid, i == 0, data[i : i + 184])
+
+    def stamp(self, mark, t):
+        v = mark << 36 | (t >> 30 & 7) << 33 | 1 << 32 | (t >> 15 & 0x7FFF) << 17 | 1 << 16 | (t & 0x7FFF) << 1 | 1
+        return v.to_bytes(5, "big")
+
+    def unit(self, stream_id, data, pts=None, dts=None, sized=True):
+        head = b"" if pts is None else self.stamp(2 if dts is None else 3, pts) + (b"" if dts is None else self.stamp(1, dts))
+        body = bytes([0x80, 0 if pts is None else 0x80 if dts is None else 0xC0, len(head)]) + head + data
+        return b"\0\0\1" + bytes([stream_id]) + (len(body) if sized else 0).to_bytes(2, "big") + body
+
+
+def other_writers_stream():
+    w, r = Writer(), np.random.default_rng(20)
+    video, audio = [r.bytes(int(n)) for n in (70_000, 5, 900, 90_000)], [r.bytes(int(n)) for n in (300, 184, 2000)]
+    w.table(0, w.section(0, 7, b"\0\0\xe0\x10" + b"\0\2\xe3\0"))  # a network table, and program 2 at 0x300
+    info = b"\x05\xf0" + bytes([240]) * 240
+    streams = b"\x1b\xe0\x51" + bytes([0xF0, 200]) + bytes(200) + b"\x0f\xe0\x52\xf0\0"
+    w.table(0x300, w.section(2, 2, b"\xe0\x51" + (0xF000 | len(info)).to_bytes(2, "big") + info + streams))  # over several packets
+    for n, x in enumerate(video):
+        w.carry(0x51, w.unit(0xE0, x, 90_000 + n * 3600, 86_400 + n * 3600, sized=False), *((0x50, ((n * 3600) << 15 | 0x7E00).to_bytes(6, "big")) if n in (0, 3) else ()))
+        if n < 3:
+            w.carry(0x52, w.unit(0xC0, audio[n], 90_000 + n * 1920))
+        if n == 1:
+            w.carry(0x52, b"\0\0\1\xbe\0\x08" + b"\xff" * 8)  # padding
+            w.packet(0x1FFF, 0, bytes(184))
+    return w, video, audio
+
+
+def test_streams_of_another_writer():
+    w, video, audio = other_writers_stream()
+    d = transport_stream.demux(b"".join(w.out))
+    assert d.programs == {2: 0x300} and {p: (s.kind, s.program) for p, s in d.streams.items()} == {0x51: (0x1B, 2), 0x52: (0x0F, 2)}
+    v, a = d.streams[0x51], d.streams[0x52]
+    assert v.payload == b"".join(video) and a.payload == b"".join(audio)
+    assert v.timestamps == [90_000 + n * 3600 for n in range(4)] and v.decode_timestamps == [86_400 + n * 3600 for n in range(4)]
+    assert a.timestamps == a.decode_timestamps == [90_000 + n * 1920 for n in range(3)] and a.starts == [0, 300, 484]
+    assert v.random_access == [0, 3] and d.clocks == [0, 10_800] and v.starts == [0, 70_000, 70_005, 70_905]
+    assert (d.sync_errors, d.counter_errors, d.crc_errors, v.broken_units, a.broken_units) == (0, 0, 0, 0, 0)
+
+
+def test_faults_of_another_writers_stream():
+    w, video, audio = other_writers_stream()
+    first = next(i for i, p in enumerate(w.out) if (p[1] & 0x1F, p[2]) == (0, 0x51))
+    lost = transport_stream.demux(b"".join(w.out[: first + 3] + w.out[first + 4 :]))
+    assert lost.counter_errors == 1 and lost.streams[0x51].broken_units == 1 and lost.streams[0x51].payload == b"".join(video[1:]) and lost.streams[0x52].payload == b"".join(audio)
+    table = next(i for i, p in enumerate(w.out) if (p[1] & 0x1F, p[2]) == (3, 0))
+    cut = transport_stream.demux(b"".join(w.out[: table + 1] + w.out[table + 2 :]))
+    assert cut.counter_errors == 1 and cut.crc_errors == 1 and not cut.streams
+    told, told_at = Writer(), 9
+    told.table(0, told.section(0, 7, b"\0\2\xe3\0"))
+    told.table(0x300, told.section(2, 2, b"\xe0\x51\xf0\0\x1b\xe0\x51\xf0\0"))
+    told.carry(0x51, told.unit(0xE0, b"a" * 100, 1, sized=False))
+    told.counters[0x51] = told_at
+    told.carry(0x51, told.unit(0xE0, b"b" * 100, 2, sized=False), 0x80)
+    d = transport_stream.demux(b"".join(told.out))
+    assert d.counter_errors == 0 and d.streams[0x51].payload == b"a" * 100 + b"b" * 100
+
+
 def test_stream_columns(spark):
     got = transport_stream.read_transport_stream(transport_stream.to_transport_stream(odd(spark))).collect()
     texts = sorted(transport_stream.padded((t or "").encode()) for _, t in ODD)
-    assert sorted(bytes(r["payload"]) for r in got) == texts and all(r["units"] == len(r["timestamps"]) for r in got)
+    assert sorted(bytes(r["payload"]) for r in got) == texts and all(r["units"] == len(r["timestamps"]) and r["other_streams"] == [] for r in got)
     assert transport_stream.to_transport_stream(odd(spark, [])).count() == 0
+    w, video, audio = other_writers_stream()
+    media = spark.createDataFrame([(1, bytearray(b"".join(w.out))), (2, None), (3, bytearray(b"junk"))], "id long, media binary").withColumn("payload", F.lit("clash"))
+    rows = {r["id"]: r for r in transport_stream.read_transport_stream(media).collect()}
+    assert bytes(rows[1]["payload"]) == b"".join(video) and rows[1]["stream_pid"] == 0x51 and rows[1]["table_pid"] == 0x300 and rows[1]["program"] == 2
+    other = rows[1]["other_streams"]
+    assert len(other) == 1 and bytes(other[0]["payload"]) == b"".join(audio) and other[0]["timestamps"] == [90_000, 91_920, 93_840]
+    assert all(bytes(rows[i]["payload"]) == b"" and rows[i]["stream_pid"] is None and rows[i]["other_streams"] == [] for i in (2, 3))
+
+
+def test_query_of_streams_against_plain_python(spark, tmp_path):
+    import hashlib
+
+    from spindex.llm.queries import op10_transport_stream
+
+    spark.createDataFrame(ODD, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for d, t in ODD:
+        data = (t or "").encode()
+        payload = data + b"\0" * ((-len(data)) % 64 or (0 if data else 64))
+        media = transport_stream.mux(payload)
+        want.append((d, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest()))
+    got = [tuple(r)[:7] for r in op10_transport_stream(spark, str(tmp_path)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
 
 
 # Pipeline

@@ -143,6 +143,26 @@ def test_packing_completes_windows_by_the_rule_and_holds_few():
         assert rows and most <= 4 * packing.LEVELS
 
 
+def test_query_against_a_naive_packer(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from spindex.llm.queries import op1_packing
+
+    reference = Tokenizer.from_file(FILES[0])
+    rows = ODD + [(100 + i, " ".join(R.choice(VOCABULARY) for _ in range(R.choice([3, 200, 900, 2500])))) for i in range(150)]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    ids = {d: [*reference.encode(t or "", add_special_tokens=False).ids, 1] for d, t in rows}
+    want, last, ruled = naive_packer([(d, len(ids[d])) for d, _ in rows], 2048, packing.LEVELS, packing.CUT_PRICE)
+    windows = collections.defaultdict(list)
+    for r in sorted(op1_packing(spark, str(tmp_path)).collect(), key=lambda r: (r["sequence_id"], r["offset"])):
+        piece = np.array(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4").tobytes()
+        assert r["ids_crc32"] == zlib.crc32(piece) and r["doc_tokens"] == len(ids[r["doc_id"]]) and r["offset"] == sum(p[2] for p in windows[r["sequence_id"]])
+        windows[r["sequence_id"]].append((r["doc_id"], r["start"], r["length"]))
+    assert list(windows.values())[: len(want)] == want and ruled > 0.9 * len(want)
+    assert sum(w[0] for w in last) == sum(p[2] for w in list(windows.values())[len(want) :] for p in w)
+
+
 def test_packing_empty(spark):
     assert packing.pack(odd(spark, []), *FILES).count() == 0
 
