@@ -110,3 +110,27 @@ def test_nothing_of_an_article_is_dropped():
     texts = [b.text for b in html_blocks.blocks(f"<article>{kept}<p>Pick <select><option>one<option>two</select> now<p>Last<select><option>x<p>after</article>")]
     assert texts[:9] == [f"start {t} inner {t} end {t}" for t in ("noscript", "object", "canvas", "audio", "video", "math", "svg", "em", "ruby")]
     assert texts[9:] == ["Pick now", "Last", "after"]
+
+
+def test_query_against_all_paths(spark, tmp_path):
+    """Each page's text by the best of all label paths, as far as their number allows, and by one page at a time."""
+    import itertools
+
+    from spindex.llm.queries import op8_html_extraction
+
+    rows = [(i, f"u{i}", p) for i, (p, _) in enumerate(PAGES)] + [(50, "v", None), (51, "v", ""), (52, None, "<p>One sentence, of the text.<div class=menu><a href=x>no</a></div>"), (53, "w", "<article><h1>T</h1><p>Words here, and there.<p>And more of them.</article><footer>&copy; X</footer>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    model, got = html_extraction.default_model(), {r["page_id"]: r for r in op8_html_extraction(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for page, url, text in rows:
+        found = html_blocks.blocks(text or "")
+        if len(found) <= 14:
+            e = [model.emission(b) for b in found]
+
+            def score(path):
+                return (model.first[path[0]] + model.last[path[-1]] if path else 0) + sum(x[y] for x, y in zip(e, path)) + sum(model.step[a][b] for a, b in zip(path, path[1:]))
+
+            want = "\n".join(b.text for b, y in zip(found, max(itertools.product((0, 1), repeat=len(found)), key=score)) if y == labelled_pages.MAIN)
+        else:
+            want = html_extraction.main_text(text, model)
+        assert (got[page]["url"], got[page]["text"], got[page]["n_chars"]) == (url, want, len(want))

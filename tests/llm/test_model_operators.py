@@ -561,6 +561,73 @@ def test_pipeline(spark, tmp_path):
     assert {r["doc_id"] for r in pipeline.run(spark, str(tmp_path)).collect()} == set(seen["secrets"])
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage in plain Python, over a small corpus with copies, benchmark passages and secrets."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from tests.llm.test_text_operators import FILES, brute_simhash, brute_windows, naive_redacted, naive_spans
+    from tokenizers import Tokenizer
+
+    from spindex.llm import decontamination, secrets
+
+    rows, labels = toxic_rows(500)
+    item = [f"b{i}" for i in range(60)]
+    more = []
+    for i in range(40):
+        words = [f"q{R.randrange(10**6)}" for _ in range(R.randint(80, 200))]
+        if i % 4 == 1:
+            at = R.randrange(40)
+            words[30:30] = item[at : at + 14]
+        if i % 5 == 2:
+            words[7:7] = ["token=Zk8" + "".join(R.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=30)), "x"]
+        more.append((1000 + 10 * i, " ".join(words)))
+        for k in range(i % 3):
+            copy = list(words)
+            copy[R.randrange(len(copy))] = f"q{R.randrange(10**6)}"
+            more.append((1001 + 10 * i + k, " ".join(copy)))
+    docs = [(d, t, len(t)) for d, t in rows + more] + [(9000, None, None), (9001, "", 0)]
+    spark.createDataFrame(docs, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    machine = toxicity.train(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    terms = toxicity.Terms(machine.terms)
+    kept = [(d, t) for d, t, _ in docs if machine.score(terms(t)) < 0.5]
+    assert len(docs) - 0.3 * len(rows) < len(kept) < len(docs)
+    kept = [(d, t) for (d, t), (_, _, c) in zip(kept, brute_simhash(kept)) if d == c]
+
+    def shingles(t):
+        w = (t or "").split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = {d: shingles(t) for d, t in kept}
+    gone = {d for d, _ in kept if sets[d] and any(e < d and sets[e] and len(sets[d] & sets[e]) >= 0.8 * len(sets[d] | sets[e]) for e, _ in kept)}
+    assert any(d > 1000 for d in gone) and not any(d < 1000 for d in gone)
+    model = secrets.train(secrets.labelled_strings(spark).unionByName(secrets.ordinary_words(spark.createDataFrame(kept, "doc_id long, text string"))))
+    want, cut, masked = {}, 0, 0
+    for d, t in kept:
+        if d in gone:
+            continue
+        words = decontamination.words_of((t or "").encode())
+        hit, _ = brute_windows([(1, [w.encode() for w in item])], words, 13)
+        if hit and 20 * len(hit) >= len(words):
+            cut += 1
+            continue
+        if hit:
+            spans = [(i, i + 1) for i in sorted(hit)]
+            t = decontamination.without_spans(t.encode(), decontamination.merged(spans)).decode()
+        spans = naive_spans(t or "", model)
+        masked += bool(spans)
+        want[d] = naive_redacted(t, spans) if spans else t or ""
+    assert cut > 3 and masked > 3
+    encode = Tokenizer.from_file(FILES[0]).encode
+    pieces = {}
+    for r in pipeline.run(spark, str(tmp_path)).collect():
+        pieces.setdefault(r["doc_id"], []).append((r["start"], bytes(r["ids"])))
+    assert pieces.keys() == want.keys()
+    for d, text in want.items():
+        ids = np.frombuffer(b"".join(x for _, x in sorted(pieces[d])), "<u4").tolist()
+        assert ids == [*encode(text, add_special_tokens=False).ids, 1], d
+
+
 def test_near_dedup_against_brute_force(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     rows = []
