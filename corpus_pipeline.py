@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers as tokenizers
-from spindex.llm.common import table, written
+from spindex.llm.common import discard, table, written
 from spindex.llm.decontamination import remove_benchmark
 from spindex.llm.near_copies import drop_near_copies
 from spindex.llm.packing import pack
@@ -29,8 +29,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, that of smallest id.
 
-    Equal and almost equal fingerprints go first; of the others, no two stay whose
-    5-word shingles are alike by 0.8 or more.
+    Equal and almost equal fingerprints go first (op2's operator); of the others,
+    no two stay whose 5-word shingles are alike by 0.8 or more, and each that goes
+    is alike to one of smaller id.
     """
     return drop_near_copies(written(keep_one(docs), "one_of_each"))
 
@@ -60,8 +61,9 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each stage's are written and read again before the next."""
+    """The last stage's rows; each stage's are written and read again before the next, and go when that is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -15,10 +15,6 @@ FLUSH_LIMIT = 10_000
 FLUSH_PERIOD_S = 200
 
 HIT = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("weight", T.ShortType())])
-HITS_LONG = T.StructType([
-    T.StructField("word", T.StringType()), T.StructField("doc_id", T.LongType()), T.StructField("pos", T.IntegerType()),
-    T.StructField("weight", T.ShortType()), T.StructField("doc_size", T.LongType()),
-])
 POSTINGS = T.StructType([
     T.StructField("word", T.StringType()), T.StructField("doc_id", T.LongType()), T.StructField("doc_size", T.LongType()),
     T.StructField("tf", T.IntegerType()), T.StructField("sum_w", T.LongType()), T.StructField("hits", T.ArrayType(HIT)),
