@@ -128,17 +128,22 @@ def seeds_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def star(hash_: np.ndarray, doc: np.ndarray):
     """Links of equal seeds, in rows sorted by (hash, doc, pos).
 
-    Places (row, partner): each row with the first of its hash and with the one
-    just before, where these are other documents'.  The second link keeps groups
-    together whose first member has lost some seeds to edits.
+    First which rows go on to meet those of other tasks: the first of each hash,
+    and the last of the same document, if it has several.  Then places (row,
+    partner): each row with the first of its hash and with the one just before,
+    where these are other documents'.  The second link keeps groups together
+    whose first member has lost some seeds to edits, and takes in a passage that
+    the first member has twice.
     """
     first = np.r_[True, hash_[1:] != hash_[:-1]]
     center = np.flatnonzero(first)[np.cumsum(first) - 1]
     row = np.arange(len(doc))
-    to_first = row[doc != doc[center]]
+    of_center = doc == doc[center]
+    last = of_center & np.r_[~of_center[1:] | first[1:], True]
+    to_first = row[~of_center]
     before = np.maximum(row - 1, 0)
-    to_before = row[~first & (doc != doc[before]) & (doc[before] != doc[center])]
-    return first, np.r_[to_first, to_before], np.r_[center[to_first], before[to_before]]
+    to_before = row[~first & (doc != doc[before]) & (before != center)]
+    return first | last, np.r_[to_first, to_before], np.r_[center[to_first], before[to_before]]
 
 
 def _seed_rows(hash_, doc, pos, span) -> pa.RecordBatch:
@@ -162,8 +167,8 @@ def _link_rows(doc, pos, span, row, to) -> pa.RecordBatch:
 def local_seeds(docs: DataFrame) -> DataFrame:
     """Seeds of (doc, text), and links between those that meet in one task.
 
-    Rows with a center are links; of equal seeds in a task's buffer only the
-    first goes on as a seed, so that a passage of many documents is shuffled
+    Rows with a center are links; of equal seeds in a task's buffer only those of
+    the first document go on as seeds, two at most, so that a passage of many documents is shuffled
     about once a task.
     """
 
@@ -178,8 +183,8 @@ def local_seeds(docs: DataFrame) -> DataFrame:
             d = np.repeat(np.array([doc for doc, _ in held], np.int64), [len(own[0]) for _, own in held])
             order = np.argsort(h, kind="stable")
             h, d, p, n = h[order], d[order], p[order], n[order]
-            first, row, to = star(h, d)
-            yield _seed_rows(h[first], d[first], p[first], n[first])
+            on, row, to = star(h, d)
+            yield _seed_rows(h[on], d[on], p[on], n[on])
             if len(row):
                 yield _link_rows(d, p, n, row, to)
 
@@ -214,11 +219,11 @@ def shared_links(seeds: DataFrame) -> DataFrame:
             old = len(gone_on)
             if old:
                 h, d, p, n = (np.r_[np.array([r[i] for r in gone_on], x.dtype), x] for i, x in enumerate((h, d, p, n)))
-            first, row, to = star(h, d)
+            _, row, to = star(h, d)
             row, to = row[row >= old], to[row >= old]  # the earlier rows have had their links
             if len(row):
                 yield _link_rows(d, p, n, row, to)
-            begin = int(np.flatnonzero(first)[-1])
+            begin = int(np.flatnonzero(h == h[-1])[0])
             gone_on = [(h[i], d[i], p[i], n[i]) for i in dict.fromkeys((begin, len(h) - 1))]
 
     return seeds.repartition("hash").sortWithinPartitions("hash", "doc", "pos").mapInArrow(run, SEEDS)
