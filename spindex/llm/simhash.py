@@ -276,23 +276,20 @@ def components(links: DataFrame) -> DataFrame:
     def state(stars: DataFrame):
         return tuple(stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    def star(edges: DataFrame, large: bool) -> DataFrame:
-        if large:
-            around = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        else:
-            around = edges
-        least = around.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        hung = around.join(least, "a")
-        if large:
-            return hung.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        rest = hung.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        return rest.unionByName(least.select("a", F.col("m").alias("b")).filter("a <> b")).distinct()
+    def least_around(around: DataFrame) -> DataFrame:
+        return around.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
 
     stars = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "stars")
     now = state(stars)
     while now[0]:
-        last, stars = stars, written(star(star(stars, True), False), "stars")
-        discard(last)
+        around = stars.select("a", "b").unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # A table of its own, so that the join has two exchanges, of which AQE splits the hub of a large star.
+        least = written(least_around(around), "least")
+        large = around.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        nearest = least_around(large)
+        rest = large.join(nearest, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        last, stars = stars, written(rest.unionByName(nearest.select("a", F.col("m").alias("b")).filter("a <> b")).distinct(), "stars")
+        discard(last, least)
         before, now = now, state(stars)
         if before == now:
             break
