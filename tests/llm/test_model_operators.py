@@ -653,7 +653,7 @@ def test_near_dedup_against_brute_force(spark):
     assert not any(near(sets[a], sets[b]) for a in kept for b in kept if a < b)
 
 
-def test_near_copies_stay_apart_and_do_not_depend_on_partitions(spark):
+def test_near_copies_stay_apart_and_do_not_depend_on_partitions(spark, monkeypatch):
     """Chains of copies of copies, families of texts that are alike by less, and repeated texts."""
     from spindex.llm import near_copies
 
@@ -675,10 +675,11 @@ def test_near_copies_stay_apart_and_do_not_depend_on_partitions(spark):
         return len(a & b) >= 0.8 * len(a | b)
 
     kept = []
-    for parts in (1, 7):
+    for parts, crowd in ((1, 256), (7, 256), (3, 2)):
+        monkeypatch.setattr(near_copies, "CROWD", crowd)
         df = odd(spark, rows).repartition(parts)
         kept.append(sorted(r["doc_id"] or 0 for r in near_copies.drop_near_copies(df).collect()))
-    assert kept[0] == kept[1]
+    assert kept[0] == kept[1] == kept[2]
     own = {d: sets(t or "") for d, t in rows if d is not None}
     stay = [d for d in kept[0] if d and own[d]]
     assert not any(near(own[a], own[b]) for a in stay for b in stay if a < b)
