@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from spindex.llm.common import FEW_ROWS, bounded_batches, bytes_of, discard, written
-from spindex.llm.decontamination import words_of
+from spindex.llm.decontamination import WORDS
 
 #: Words of a seed; a seed is kept if its hash is the least of WINDOW in a row, so
 #: that SEED + WINDOW - 1 equal words always share one.
 SEED, WINDOW = 5, 8
-#: Seeds in a row that are linked as one, too, and runs in a row of which one is kept: 44 equal words always share a run.
-RUN, RUNS_WINDOW = 3, 3
+#: Seeds in a row that are linked as one, too; 36 equal words hold two such runs.
+RUN = 3
 #: A passage: words on either side, share of them that may be edited.
 LEAST_WORDS, MOST_EDITS = 40, 0.2
 #: Gap cost of a word between two seeds, against 1 for a seed.
@@ -28,41 +29,72 @@ SKIP, RESUME, DROP = 3, 3, 8
 _AT_ONCE = 1 << 20
 #: Edits sought diagonal by diagonal; more are sought on all diagonals at once, this many words ahead at most.
 FEW, _AHEAD = 24, 256
-REMEMBERED = 500_000
+#: Bytes of texts hashed at once.
+_CHUNK = 1 << 19
 _SKIPS = sorted((max(p, q), p, q) for p in range(SKIP + 1) for q in range(SKIP + 1) if p or q)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_PLACES = np.random.default_rng(3).integers(0, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-SEEDS = "hash long, doc long, pos int, span int, center long, center_pos int"
+SEEDS = "hash long, doc long, pos int, center long, center_pos int"
 CHAINS = "doc long, d_from int, d_to int, center long, c_from int, c_to int, seeds int, anchors binary"
 PASSAGES = "doc_id long, start long, end long, other_id long, other_start long, other_end long, seeds int, edits int, identity double"
 
 
-class WordHashes:
-    """Words to 64-bit hashes, each different word hashed once."""
+def _hashes(shown: bytes, ends: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the words of texts that lie side by side in `shown`, words between spaces; each text ends at one of `ends`.
 
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        import xxhash
-
-        known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            for w in set(words):
-                if w not in known:
-                    known[w] = xxhash.xxh64_intdigest(w)
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    A hash is the sum of a word's bytes, each times a random odd number of its
+    place, mixed: two words have equal ones once in 2**57 times.
+    """
+    a = np.frombuffer(shown, np.uint8)
+    letter = a != 32
+    edge = np.diff(letter.astype(np.int8), prepend=0, append=0)
+    start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(start):
+        return [np.zeros(0, np.uint64)] * len(ends)
+    size = stop - start
+    offset = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(offset, size)
+    h = np.add.reduceat(a[letter] * _PLACES[place % len(_PLACES)], offset)
+    h = (h ^ h >> np.uint64(32)) * _MULTIPLIER
+    h ^= h >> np.uint64(29)
+    return np.split(h, np.searchsorted(start, ends[:-1]))
+
+
+def word_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """64-bit hashes of each text's words, of about _CHUNK bytes at once."""
+    held, size = [], 0
+
+    def flushed():
+        nonlocal held, size
+        if held:
+            yield from _hashes(b" ".join(held).translate(WORDS), np.cumsum([len(t) + 1 for t in held]))
+        held, size = [], 0
+
+    for t in texts:
+        if len(t) > _CHUNK:
+            yield from flushed()
+            shown, parts, at = t.translate(WORDS), [], 0
+            while at < len(shown):
+                end = shown.find(b" ", min(at + _CHUNK, len(shown)))
+                end = len(shown) if end < 0 else end
+                parts += _hashes(shown[at:end], np.array([end - at]))
+                at = end
+            yield np.concatenate(parts)
+            continue
+        held.append(t)
+        size += len(t)
+        if size > _CHUNK:
+            yield from flushed()
+    yield from flushed()
 
 
 def kept_least(values: np.ndarray, window: int) -> np.ndarray:
     """Places of the values that are the least of some `window` in a row."""
     width = min(window, len(values))
     around = np.lib.stride_tricks.sliding_window_view(values, width)
-    return np.unique(np.arange(len(values) - width + 1) + around.argmin(1))
+    at = np.arange(len(values) - width + 1) + around.argmin(1)  # never falls
+    return at[np.r_[True, at[1:] != at[:-1]]]
 
 
 def minimizers(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,93 +136,73 @@ def repeats(seed: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _mixed(seed[1:][same], gap[same].astype(np.uint64), number[same].astype(np.uint64)), at[1:][same]
 
 
-def seeds_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, position, span) of all that is linked in a word sequence: its
-    minimizers, runs of RUN of them, at the first, and series of equal ones.
+def seeds_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, position) of all that is linked in a word sequence: its minimizers,
+    each RUN of them in a row, at its first, and series of equal ones.
 
-    A run has the distances of its seeds in its hash, and its span to the last of
-    them, so one that is shared is two links; only holders of the whole run meet
-    under it, whatever other documents hold its seeds one by one.
+    Only holders of the whole run meet under its hash, whatever other documents
+    hold its seeds one by one.
     """
     seed, at = minimizers(h)
     n = max(0, len(seed) - RUN + 1)
+    runs = _mixed(*(seed[j : j + n] for j in range(RUN)))
     again, again_at = repeats(seed, at)
-    if n:
-        gaps = [(at[j + 1 : j + 1 + n] - at[j : j + n]).astype(np.uint64) for j in range(RUN - 1)]
-        runs = _mixed(*(seed[j : j + n] for j in range(RUN)), *gaps)
-        kept = kept_least(runs, RUNS_WINDOW)
-        runs, begin, span = runs[kept], at[kept], (at[RUN - 1 :] - at[:n])[kept]
-    else:
-        runs, begin, span = seed[:0], at[:0], at[:0]
-    return np.r_[seed, runs, again], np.r_[at, begin, again_at], np.r_[np.zeros_like(at), span, np.zeros_like(again_at)]
+    return np.r_[seed, runs, again], np.r_[at, at[:n], again_at]
 
 
-def star(hash_: np.ndarray, doc: np.ndarray):
+def star(hash_: np.ndarray, doc: np.ndarray, pos: np.ndarray):
     """Links of equal seeds, in rows sorted by (hash, doc, pos).
 
-    First which rows go on to meet those of other tasks: the first of each hash,
-    and the last of the same document, if it has several.  Then places (row,
-    partner): each row with the first of its hash and with the one just before,
-    where these are other documents'.  The second link keeps groups together
-    whose first member has lost some seeds to edits, and takes in a passage that
-    the first member has twice.
+    Places (row, partner): each row with the first of its hash and with the one
+    just before, where these are other documents'.  The second link keeps groups
+    together whose first member has lost some seeds to edits.
     """
     first = np.r_[True, hash_[1:] != hash_[:-1]]
     center = np.flatnonzero(first)[np.cumsum(first) - 1]
     row = np.arange(len(doc))
-    of_center = doc == doc[center]
-    last = of_center & np.r_[~of_center[1:] | first[1:], True]
-    to_first = row[~of_center]
+    to_first = row[doc != doc[center]]
     before = np.maximum(row - 1, 0)
-    to_before = row[~first & (doc != doc[before]) & (before != center)]
-    return first | last, np.r_[to_first, to_before], np.r_[center[to_first], before[to_before]]
-
-
-def _seed_rows(hash_, doc, pos, span) -> pa.RecordBatch:
-    none = pa.nulls(len(doc), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(hash_.view(np.int64)), pa.array(doc, pa.int64()), pa.array(pos, pa.int32()), pa.array(span, pa.int32()), none, none.cast(pa.int32())], ["hash", "doc", "pos", "span", "center", "center_pos"])
+    to_before = row[~first & (doc != doc[before]) & (doc[before] != doc[center])]
+    return first, np.r_[to_first, to_before], np.r_[center[to_first], before[to_before]]
 
 
-def _link_rows(doc, pos, span, row, to) -> pa.RecordBatch:
-    """Links of rows to others, each once; those of runs at both ends."""
-    run = span[row] > 0
-    row, to, add = np.r_[row, row[run]], np.r_[to, to[run]], np.r_[np.zeros(len(row), np.int64), span[row[run]]]
-    _, once = np.unique(_mixed(*(v.astype(np.uint64) for v in (doc[row], pos[row] + add, doc[to], pos[to] + add))), return_index=True)
-    row, to, add = row[once], to[once], add[once]
-    none = pa.nulls(len(row), pa.int64())
+def _rows(hash_, doc, pos, center, center_pos) -> pa.RecordBatch:
+    n = len(doc)
+    none = pa.nulls(n, pa.int64())
     return pa.RecordBatch.from_arrays(
-        [none, pa.array(doc[row], pa.int64()), pa.array(pos[row] + add, pa.int32()), none.cast(pa.int32()), pa.array(doc[to], pa.int64()), pa.array(pos[to] + add, pa.int32())],
-        ["hash", "doc", "pos", "span", "center", "center_pos"],
+        [none if hash_ is None else pa.array(hash_.view(np.int64)), pa.array(doc, pa.int64()), pa.array(pos, pa.int32()), none if center is None else pa.array(center, pa.int64()), pa.nulls(n, pa.int32()) if center is None else pa.array(center_pos, pa.int32())],
+        ["hash", "doc", "pos", "center", "center_pos"],
     )
 
 
 def local_seeds(docs: DataFrame) -> DataFrame:
     """Seeds of (doc, text), and links between those that meet in one task.
 
-    Rows with a center are links; of equal seeds in a task's buffer only those of
-    the first document go on as seeds, two at most, so that a passage of many documents is shuffled
+    Rows with a center are links; of equal seeds in a task's buffer only the
+    first goes on as a seed, so that a passage of many documents is shuffled
     about once a task.
     """
 
     def run(batches):
-        hashes = WordHashes()
-        held: list[tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray]]] = []
+        held: list[tuple[int, tuple[np.ndarray, np.ndarray]]] = []
         size = 0
 
         def linked():
             held.sort(key=lambda x: x[0])  # with a stable sort by hash, rows are in order of (hash, doc, pos)
-            h, p, n = (np.concatenate(x) for x in zip(*(own for _, own in held)))
+            h, p = (np.concatenate(x) for x in zip(*(own for _, own in held)))
             d = np.repeat(np.array([doc for doc, _ in held], np.int64), [len(own[0]) for _, own in held])
             order = np.argsort(h, kind="stable")
-            h, d, p, n = h[order], d[order], p[order], n[order]
-            on, row, to = star(h, d)
-            yield _seed_rows(h[on], d[on], p[on], n[on])
+            h, d, p = h[order], d[order], p[order]
+            first, row, to = star(h, d, p)
+            yield _rows(h[first], d[first], p[first], None, None)
             if len(row):
-                yield _link_rows(d, p, n, row, to)
+                _, once = np.unique(_mixed(*(v.astype(np.uint64) for v in (d[row], p[row], d[to], p[to]))), return_index=True)
+                row, to = row[once], to[once]  # a run's link may be a seed's
+                yield _rows(None, d[row], p[row], d[to], p[to])
 
         for b in batches:
-            for doc, text in zip(b.column("doc").to_pylist(), bytes_of(b, "text")):
-                own = seeds_of(hashes(words_of(text)))
+            for doc, h in zip(b.column("doc").to_pylist(), word_hashes(bytes_of(b, "text"))):
+                own = seeds_of(h)
                 if len(own[0]):
                     held.append((doc, own))
                     size += len(own[0])
@@ -212,19 +224,19 @@ def shared_links(seeds: DataFrame) -> DataFrame:
     def run(batches):
         gone_on = []  # first and last row of the group that may go on
         for b in batches:
-            h, d, p, n = (b.column(c).to_numpy().astype(t) for c, t in (("hash", np.int64), ("doc", np.int64), ("pos", np.int64), ("span", np.int64)))
+            h, d, p = (b.column(c).to_numpy() for c in ("hash", "doc", "pos"))
             if not len(h):
                 continue
             gone_on = [r for r in gone_on if r[0] == h[0]]
-            old = len(gone_on)
-            if old:
-                h, d, p, n = (np.r_[np.array([r[i] for r in gone_on], x.dtype), x] for i, x in enumerate((h, d, p, n)))
-            _, row, to = star(h, d)
-            row, to = row[row >= old], to[row >= old]  # the earlier rows have had their links
+            n = len(gone_on)
+            if n:
+                h, d, p = (np.r_[np.array([r[i] for r in gone_on], x.dtype), x] for i, x in enumerate((h, d, p)))
+            first, row, to = star(h, d, p)
+            row, to = row[row >= n], to[row >= n]  # the earlier rows have had their links
             if len(row):
-                yield _link_rows(d, p, n, row, to)
-            begin = int(np.flatnonzero(h == h[-1])[0])
-            gone_on = [(h[i], d[i], p[i], n[i]) for i in dict.fromkeys((begin, len(h) - 1))]
+                yield _rows(None, d[row], p[row], d[to], p[to])
+            begin = int(np.flatnonzero(first)[-1])
+            gone_on = [(h[i], d[i], p[i]) for i in dict.fromkeys((begin, len(h) - 1))]
 
     return seeds.repartition("hash").sortWithinPartitions("hash", "doc", "pos").mapInArrow(run, SEEDS)
 
@@ -333,11 +345,10 @@ def word_blocks(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc", pa.int64()), ("block", pa.int32()), ("words", pa.binary())])
 
     def run(batches):
-        hashes = WordHashes()
         for b in batches:
             out: list[tuple] = []
-            for doc, text in zip(b.column("doc").to_pylist(), bytes_of(b, "text")):
-                h = (hashes(words_of(text)) >> np.uint64(32)).astype("<u4").tobytes()
+            for doc, h in zip(b.column("doc").to_pylist(), word_hashes(bytes_of(b, "text"))):
+                h = (h >> np.uint64(32)).astype("<u4").tobytes()
                 out += [(doc, at // (4 * BLOCK), h[at : at + 4 * BLOCK]) for at in range(0, len(h), 4 * BLOCK)]
             if out:
                 yield _table(out, schema)
