@@ -238,7 +238,7 @@ def shared_links(seeds: DataFrame) -> DataFrame:
             begin = int(np.flatnonzero(first)[-1])
             gone_on = [(h[i], d[i], p[i]) for i in dict.fromkeys((begin, len(h) - 1))]
 
-    return seeds.repartition("hash").sortWithinPartitions("hash", "doc", "pos").mapInArrow(run, SEEDS)
+    return seeds.select("hash", "doc", "pos").repartition("hash").sortWithinPartitions("hash", "doc", "pos").mapInArrow(run, SEEDS)
 
 
 def chains(x: list[int], y: list[int]) -> list[list[int]]:
