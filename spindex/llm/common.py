@@ -31,16 +31,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, **options: str) -> DataFrame:
     """Cut lineage: write `df` to the shared folder and read it back.
 
     Parquet in the shared folder survives lost executors, is smaller than a
-    checkpoint of rows, and gives later plans real sizes.  A table stays until
-    `discard`, or until the folder is emptied.
+    checkpoint of rows, and gives later plans real sizes.  `options` are the
+    writer's.  A table stays until `discard`, or until the folder is emptied.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spindex-{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._spindex_written = path
     return out

@@ -572,7 +572,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     if not repeated.isEmpty():
         again = own.join(repeated, "doc", "left_semi").groupBy("doc").agg(F.max(F.struct(F.length("text").alias("n"), F.col("text").alias("text"))).alias("t")).select("doc", "t.text")
         own = own.join(repeated, "doc", "left_anti").unionByName(again)
-    seeds = written(local_seeds(own), "seeds")
+    seeds = written(local_seeds(own), "seeds", **{"parquet.writer.version": "PARQUET_2_0"})  # sorted hashes as differences
     links = seeds.filter("center is not null").unionByName(shared_links(seeds.filter("center is null")))
     found = chained(links, least)
     found = written(found.withColumn("chain", F.xxhash64(*[F.col(c.split()[0]) for c in CHAINS.split(", ")])), "chains")
