@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -15,9 +13,6 @@ from spindex.llm.simhash import shingle_hashes
 WORDS, SIMILARITY = 5, 0.8
 #: MinHash bands and values in each: a pair at 0.8 shares no band once in 20 million times.
 BANDS, ROWS = 32, 4
-#: Members of the largest bucket that one task compares with each other; while there are more, all are compared with its
-#: first one in any task, ROUNDS times at most.
-CROWD, ROUNDS = 256, 6
 _FACTORS = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -124,29 +119,18 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
 
     Each is alike to one of smaller id.  Members of a band's bucket are compared
     with its first one, in any task, so a large group of copies of that one is
-    split freely; those left in a large bucket then with the first of them, and
-    so on, and at last those of a bucket with each other, in one task, less what
-    has gone.  None of it lists all pairs of a bucket.
+    split freely; what is like no first one is compared within its buckets.
+    Neither lists all pairs of a bucket.
     """
-    members, gone = band_buckets(docs, words), []
-    for turn in range(ROUNDS):
-        gone.append(like_the_first(docs, members, words, similarity))
-        left = members.join(if_few(gone[-1]), "id", "left_anti").select("key", "id")
-        least = left.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        left = written(left.join(least, "key"), "left")
-        discard(members)
-        crowd = left.agg(F.max("n")).first()[0] or 0
-        if crowd <= CROWD or turn == ROUNDS - 1:
-            break
-        members = written(left.filter("id <> first").select("key", "id", "first"), "members")
-        discard(left)
-    if crowd:
-        gone.append(like_another(docs, left.select("key", "id"), words, similarity))
-    discard(left)
-    if len(gone) == 1:
-        return gone[0]
-    out = written(functools.reduce(DataFrame.unionByName, gone).distinct(), "gone")
-    discard(*gone)
+    members = band_buckets(docs, words)
+    near = like_the_first(docs, members, words, similarity)
+    left = members.join(if_few(near), "id", "left_anti").select("key", "id")
+    left = written(left.join(left.groupBy("key").count().filter("count > 1").select("key"), "key", "left_semi"), "left")
+    discard(members)
+    if left.isEmpty():
+        return near
+    out = written(near.unionByName(like_another(docs, left, words, similarity)).distinct(), "gone")
+    discard(near, left)
     return out
 
 
