@@ -13,14 +13,28 @@ def _own(docs: DataFrame, id_col: str, by_document: bool, *columns: Column) -> D
     return own.repartition("doc_id") if by_document else own
 
 
+def check_weight(weight: int) -> None:
+    if not 0 <= weight <= MAX_WEIGHT:
+        raise ValueError(f"a weight of 0 to {MAX_WEIGHT}, not {weight}")
+
+
+def weight_of(item: Column) -> Column:
+    return F.coalesce(item["weight"].cast("long"), F.lit(DEFAULT_WEIGHT).cast("long"))
+
+
+def good_word(item: Column) -> Column:
+    """The word of a struct<word, weight>; a word or weight out of range fails."""
+    good = item["word"].isNotNull() & (F.length(item["word"]) < WORD_LENGTH) & (F.length(item["word"]) > 0) & ~item["word"].contains("/") & weight_of(item).between(0, MAX_WEIGHT)
+    return F.when(good, item["word"]).otherwise(F.raise_error(F.concat(F.lit("not a weighted word: "), F.to_json(item))))
+
+
 def text_hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weight: int = DEFAULT_WEIGHT, by_document: bool = False) -> DataFrame:
     """(word, doc_id, pos, weight, doc_size) of every token.
 
     With `by_document` the texts are dealt by id first: postings are then built
     where the tokens are, and no token is shuffled.
     """
-    if not 0 <= weight <= MAX_WEIGHT:
-        raise ValueError(f"a weight of 0 to {MAX_WEIGHT}, not {weight}")
+    check_weight(weight)
     words = _own(docs, id_col, by_document, F.col(text_col).alias("text")).select("doc_id", tokens(F.col("text")).alias("words"))
     sized = words.withColumn("doc_size", F.size("words").cast("long") * weight)
     return sized.select("doc_id", "doc_size", F.posexplode("words").alias("pos", "word")).select("word", "doc_id", "pos", F.lit(weight).cast("short").alias("weight"), "doc_size")
@@ -33,13 +47,10 @@ def weighted_hits(docs: DataFrame, id_col: str = "doc_id", words_col: str = "wor
     """
     item = F.col("item")
     given = F.coalesce(F.col("words"), F.array().cast(docs.schema[words_col].dataType))
-    weight = lambda x: F.coalesce(x["weight"].cast("long"), F.lit(DEFAULT_WEIGHT).cast("long"))
     own = _own(docs, id_col, by_document, F.col(words_col).alias("words"))
-    sized = own.select("doc_id", given.alias("words"), F.aggregate(given, F.lit(0).cast("long"), lambda n, x: n + weight(x)).alias("doc_size"))
+    sized = own.select("doc_id", given.alias("words"), F.aggregate(given, F.lit(0).cast("long"), lambda n, x: n + weight_of(x)).alias("doc_size"))
     rows = sized.select("doc_id", "doc_size", F.posexplode("words").alias("pos", "item"))
-    good = item["word"].isNotNull() & (F.length(item["word"]) < WORD_LENGTH) & (F.length(item["word"]) > 0) & ~item["word"].contains("/") & weight(item).between(0, MAX_WEIGHT)
-    word = F.when(good, item["word"]).otherwise(F.raise_error(F.concat(F.lit("not a weighted word: "), F.to_json(item))))
-    return rows.select(word.alias("word"), "doc_id", "pos", weight(item).cast("short").alias("weight"), "doc_size")
+    return rows.select(good_word(item).alias("word"), "doc_id", "pos", weight_of(item).cast("short").alias("weight"), "doc_size")
 
 
 def documents(postings: DataFrame) -> DataFrame:

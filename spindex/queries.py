@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spindex.functions.text import ACCENTED, FOLDED
 from spindex.operators import postings as P
+from spindex.operators.documents import text_postings
 from spindex.plans import commands
 from spindex.plans.nodes import And, Approx, Exact, Kw, Node, Not, Or
 from spindex.plans.parser import parse
@@ -32,7 +33,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _postings(spark: SparkSession, sf_dir: str, only: list[str] | None = None) -> DataFrame:
     """All postings, or those of some words, whose hits alone are shuffled then."""
     docs = _documents(spark, sf_dir)
-    return P.build_postings(P.text_hits(docs, by_document=True) if only is None else P.text_hits(docs).filter(F.col("word").isin(only)))
+    return text_postings(docs) if only is None else P.build_postings(P.text_hits(docs).filter(F.col("word").isin(only)))
 
 
 def _found(spark: SparkSession, sf_dir: str, node: Node, **options) -> DataFrame:
@@ -105,7 +106,8 @@ _add("docs_size", lambda s, d: P.text_documents(_documents(s, d)), f"{TOK} SELEC
 
 
 def _hit_text(postings: DataFrame) -> DataFrame:
-    shown = F.concat_ws(" ", F.transform("hits", lambda h: F.concat_ws(":", h["pos"].cast("string"), h["weight"].cast("string"))))
+    # [{0, 10}, {7, 10}] as 0:10 7:10
+    shown = F.btrim(F.replace(F.replace(F.col("hits").cast("string"), F.lit("}, {"), F.lit(" ")), F.lit(", "), F.lit(":")), F.lit("[{}]"))
     return postings.select("word", "doc_id", "doc_size", F.col("tf").cast("long").alias("tf"), "sum_w", shown.alias("hit_list"))
 
 
