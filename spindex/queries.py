@@ -188,8 +188,8 @@ for _name, _text, _sql in (
 # Writing.
 def _merge_readd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, and then every document once more."""
-    once = _postings(spark, sf_dir)
-    return _hit_text(P.merge_postings(once.withColumn("batch", F.lit(0)).unionByName(once.withColumn("batch", F.lit(1))), "batch"))
+    docs = _documents(spark, sf_dir)
+    return _hit_text(text_postings(docs.withColumn("batch", F.lit(0)).unionByName(docs.withColumn("batch", F.lit(1))), order_col="batch"))
 
 
 _add(
