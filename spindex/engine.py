@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Observation, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from spindex.operators.postings import document_frequency, integrity_violations, max_document, text_hits, weighted_hits
+from spindex.operators.documents import text_postings, weighted_postings
+from spindex.operators.postings import document_frequency, integrity_violations, max_document
 from spindex.plans import commands
 from spindex.plans.nodes import Node
 from spindex.plans.parser import parse
@@ -76,8 +77,8 @@ class Engine:
             if (found := twice.first()) is not None:
                 raise ValueError(f"document {found['doc_id']} was added before")
         idle_s = time.monotonic() - self.added_at
-        hits = text_hits(docs, id_col, text_col, weight, by_document=True) if text_col else weighted_hits(docs, id_col, words_col, by_document=True)
-        name = self.index.write_hits(hits)
+        postings = text_postings(docs, id_col, text_col, weight) if text_col else weighted_postings(docs, id_col, words_col)
+        name = self.index.write(postings, built=True)
         self.pending[name] = self.index.size(name)
         self.added_at = time.monotonic()
         if self.auto_flush:

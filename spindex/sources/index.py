@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from spindex.operators.documents import dealt
 from spindex.operators.postings import bucket, build_postings, documents, merge_postings, scan
 from spindex.schema import DOCS, POSTINGS
 from spindex.sources import files
@@ -69,18 +70,22 @@ class StoredIndex:
 
     # Writing
 
-    def write(self, postings: DataFrame, name: str | None = None) -> str:
+    def write(self, postings: DataFrame, name: str | None = None, docs: DataFrame | None = None, built: bool = False) -> str:
         """A new segment, not visible yet; one of the same name is replaced.
 
         Rows are dealt by bucket; AQE splits large buckets and joins small ones
         to its advisory partition size, so the number and size of files follow
-        the data, not the number of tasks.  The documents are read off the stored
-        postings, whose texts are thus read once.
+        the data, not the number of tasks.  The documents are `docs`, or are read
+        off the stored postings, whose texts are thus read once: in postings
+        `built` from documents off those with a first place, which each text has.
         """
         name = name or uuid.uuid4().hex
-        rows = postings.select(*POSTINGS.names).withColumn("bucket", bucket(F.col("word"), self.buckets)).hint("rebalance", "bucket")
+        in_bucket = bucket(F.col("word"), self.buckets)
+        rows = dealt(postings.select(*POSTINGS.names), in_bucket, lambda df: df.hint("rebalance", "key")).withColumn("bucket", in_bucket)
         rows.sortWithinPartitions("bucket", "word", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/segment={name}")
-        docs = documents(self._read("postings", STORED, [name]))
+        if docs is None:
+            stored = self._read("postings", STORED, [name])
+            docs = documents(stored.filter(F.get(F.col("hits")["pos"], F.lit(0)) == 0) if built else stored)
         docs.select(*DOCS.names).hint("rebalance").write.mode("overwrite").parquet(f"{self.path}/docs/segment={name}")
         return name
 

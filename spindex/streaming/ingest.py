@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from spindex.operators.postings import text_hits, weighted_hits
+from spindex.operators.documents import text_postings, weighted_postings
 from spindex.schema import DEFAULT_WEIGHT, FLUSH_PERIOD_S
 from spindex.sources.index import StoredIndex
 
@@ -19,8 +19,8 @@ def publish_batch(index: StoredIndex, batch: DataFrame, batch_id: int, text_col:
     """
     if batch_id <= index.manifest().streams.get(stream, -1):
         return
-    hits = weighted_hits(batch, id_col, words_col, by_document=True) if words_col else text_hits(batch, id_col, text_col, weight, by_document=True)
-    index.add([index.write_hits(hits, f"{stream}-{batch_id:012d}")], (stream, batch_id))
+    postings = weighted_postings(batch, id_col, words_col) if words_col else text_postings(batch, id_col, text_col, weight)
+    index.add([index.write(postings, f"{stream}-{batch_id:012d}", built=True)], (stream, batch_id))
     index.upkeep()
 
 

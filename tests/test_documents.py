@@ -21,7 +21,7 @@ def texts(spark, seed=1):
     return spark.createDataFrame(many + [(1000 + i, t) for i, t in enumerate(ODD)], "doc_id long, text string")
 
 
-def test_texts_as_their_hits(spark, monkeypatch):
+def test_texts_as_their_hits(spark):
     docs = texts(spark)
     want = rows(P.build_postings(P.text_hits(docs)))
     assert rows(D.text_postings(docs)) == want
@@ -64,3 +64,12 @@ def test_no_token_is_a_row(spark):
     """Tokens as rows were sorted, and spilled, by task: nothing but the texts may be exchanged or sorted."""
     plan = D.text_postings(texts(spark))._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "Aggregate" not in plan
+
+
+def test_blocks_keep_every_posting(spark):
+    postings = D.text_postings(texts(spark))
+    moved = D.dealt(postings, F.pmod(F.hash("word"), F.lit(5)), lambda df: df.hint("rebalance", "key"))
+    assert rows(moved) == rows(postings)
+    plan = moved._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(plan) if "RebalancePartitions" in line)
+    assert "_pack" in plan[at + 1]
