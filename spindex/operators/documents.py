@@ -154,6 +154,52 @@ def weighted_postings(docs: DataFrame, id_col: str = "doc_id", words_col: str =
     return _postings(docs, id_col, order_col, words_col, columns, DEFAULT_WEIGHT)
 
 
+def _merged(batches: Iterator) -> Iterator:
+    """Rows in order of word, document and age, those of one word and document as one."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def one(b):
+        word, doc = b["word"].fill_null(""), b["doc_id"].fill_null(0)
+        n = b.num_rows
+        differ = pc.or_(pc.not_equal(word.slice(1), word.slice(0, n - 1)), pc.not_equal(doc.slice(1), doc.slice(0, n - 1)))
+        for c in ("word", "doc_id"):
+            none = b[c].is_null()
+            differ = pc.or_(differ, pc.not_equal(none.slice(1), none.slice(0, n - 1)))
+        starts = np.flatnonzero(np.concatenate([[True], differ.to_numpy(zero_copy_only=False)]))
+        if len(starts) == n:
+            return b.select(POSTINGS.names)
+        total = np.add.reduceat(b["hits"].value_lengths().to_numpy().astype(np.int64), starts)
+        hits = b["hits"].flatten()
+        pos, weights = hits.field("pos").to_numpy(), hits.field("weight").to_numpy()
+        several = np.repeat(np.diff(np.append(starts, n)) > 1, total)
+        group = np.repeat(np.arange(len(starts)), total)
+        order = np.arange(len(pos))
+        at = np.flatnonzero(several)
+        order[at] = at[np.lexsort((weights[at], pos[at], group[at]))]
+        ends = np.concatenate([[0], np.cumsum(total)]).astype(np.int32)
+        bag = pa.StructArray.from_arrays([pa.array(pos[order]), pa.array(weights[order])], ["pos", "weight"])
+        head = pa.array(starts)
+        columns = {c: b[c].take(head) for c in ("word", "doc_id", "doc_size")}
+        columns["tf"] = pa.array(np.add.reduceat(b["tf"].to_numpy(), starts).astype(np.int32))
+        columns["sum_w"] = pa.array(np.add.reduceat(b["sum_w"].to_numpy(), starts))
+        columns["hits"] = pa.ListArray.from_arrays(pa.array(ends), bag)
+        return pa.RecordBatch.from_arrays([columns[c] for c in POSTINGS.names], POSTINGS.names)
+
+    held = None
+    for b in batches:
+        b = b if held is None else pa.concat_batches([held, b])
+        last = b.num_rows - 1
+        while last > 0 and b["word"][last - 1] == b["word"][-1] and b["doc_id"][last - 1] == b["doc_id"][-1]:
+            last -= 1
+        if last > 0:
+            yield one(b.slice(0, last))
+        held = b.slice(max(last, 0)) if b.num_rows else held
+    if held is not None and held.num_rows:
+        yield one(held)
+
+
 _BLOCK = T.StructType([T.StructField("key", T.IntegerType()), T.StructField("block", T.BinaryType())])
 
 
@@ -218,3 +264,10 @@ def dealt(rows: DataFrame, key: Column, exchange: Callable[[DataFrame], DataFram
     typed = [F.col(c).cast("int").alias(c) if c == "age" else F.col(c) for c in columns]
     packed = rows.select(*typed, key.cast("int").alias("key")).mapInArrow(_pack, _BLOCK)
     return exchange(packed).mapInArrow(_unpacker(columns), schema)
+
+
+def merge_sorted(batches: DataFrame, order_col: str, partitions: int) -> DataFrame:
+    """merge_postings for very many rows: one exchange to so many tasks and one sort in each, no aggregation."""
+    rows = batches.select(*POSTINGS.names, F.col(order_col).alias("age"))
+    own = dealt(rows, F.pmod(F.xxhash64("doc_id"), F.lit(partitions)), lambda df: df.repartitionById(partitions, F.col("key")))
+    return own.sortWithinPartitions("word", "doc_id", "age").drop("age").mapInArrow(_merged, T.StructType(POSTINGS.fields))

@@ -32,6 +32,12 @@ def listing(spark: SparkSession, path: str) -> list[Entry]:
     return sorted((Entry(s.getPath().getName(), now - s.getModificationTime() / 1000) for s in fs.listStatus(p)), key=lambda e: e.name)
 
 
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of all files in a folder."""
+    fs, p = _at(spark, path)
+    return fs.getContentSummary(p).getLength()
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     fs, p = _at(spark, path)
     stream = fs.open(p)

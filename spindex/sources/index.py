@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from spindex.operators.documents import dealt
+from spindex.operators.documents import dealt, merge_sorted
 from spindex.operators.postings import bucket, build_postings, documents, merge_postings, scan
 from spindex.schema import DOCS, POSTINGS
 from spindex.sources import files
@@ -28,6 +28,8 @@ STORED = T.StructType([*POSTINGS.fields, T.StructField("bucket", T.IntegerType()
 _SEGMENT = T.StructField("segment", T.StringType())
 #: Adjacent segments of one size that are merged; seconds that unnamed files are kept for readers and writers at work.
 FAN_IN, KEEP_S = 8, 24 * 3600
+#: Ids of documents in several segments that are broadcast at most; stored bytes of postings that one task merges.
+MOST_IDS, MERGE_BYTES = 1_000_000, 16 << 20
 
 
 @dataclass
@@ -129,7 +131,26 @@ class StoredIndex:
             found = scan(found, words, buckets=self.buckets)
         if len(segments) == 1:
             return found.drop("segment")
-        return merge_postings(found.withColumn("age", self._age(segments)), "age").withColumn("bucket", bucket(F.col("word"), self.buckets))
+        found = found.withColumn("age", self._age(segments))
+        if words is not None:
+            return merge_postings(found, "age").withColumn("bucket", bucket(F.col("word"), self.buckets))
+        return self._merged(found, segments).withColumn("bucket", bucket(F.col("word"), self.buckets))
+
+    def _merged(self, found: DataFrame, segments: list[str]) -> DataFrame:
+        """All postings of segments as one; only those of documents that several segments have must meet."""
+        again = self._read("docs", DOCS, segments).groupBy("doc_id").count().filter("count > 1").select("doc_id")
+        n = again.limit(MOST_IDS + 1).count()
+        own = found.select(*POSTINGS.names)
+        if not n:
+            return own
+        size = sum(files.size(self.spark, f"{self.path}/postings/segment={s}") for s in segments)
+        merge = lambda df: merge_sorted(df, "age", max(self.spark.sparkContext.defaultParallelism, size // MERGE_BYTES + 1)).select(*POSTINGS.names)
+        if n > MOST_IDS:
+            return merge(found)
+        # null ids compare as equal here, as they do in a group
+        ids = F.broadcast(again.withColumnRenamed("doc_id", "again"))
+        same = F.col("doc_id").eqNullSafe(F.col("again"))
+        return merge(found.join(ids, same, "left_semi")).unionByName(found.join(ids, same, "left_anti").select(*POSTINGS.names))
 
     def docs(self, segments: list[str] | None = None) -> DataFrame:
         """Visible documents; one added again keeps its oldest size."""

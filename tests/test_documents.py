@@ -4,8 +4,10 @@ import random
 
 from pyspark.sql import functions as F
 
+from spindex import Engine
 from spindex.operators import documents as D
 from spindex.operators import postings as P
+from spindex.sources import index
 from tests.test_engine import WORDS
 
 ODD = ["", None, "  ", "a" * 49, "a" * 50 + " b", "été Été ÀÂ ß×÷ ñandú", "Kelvin İx ÃŸ", "日本 a1 b-2", "é", "x", "ÿ" * 49, "ÿ" * 50, "tailÂ", "ä", "end a", "a start"]
@@ -73,3 +75,32 @@ def test_blocks_keep_every_posting(spark):
     plan = moved._jdf.queryExecution().optimizedPlan().toString().splitlines()
     at = next(i for i, line in enumerate(plan) if "RebalancePartitions" in line)
     assert "_pack" in plan[at + 1]
+
+
+def test_segments_of_other_documents_are_not_grouped(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/index", buckets=3)
+    docs = texts(spark).filter("doc_id is not null").dropDuplicates(["doc_id"])
+    for k in (0, 1):
+        engine.add_documents(docs.filter(f"doc_id % 2 = {k}"), text_col="text")
+        engine.flush()
+    apart = engine.index.postings()
+    assert "Aggregate" not in apart._jdf.queryExecution().optimizedPlan().toString()
+    want = rows(P.build_postings(P.text_hits(docs)))
+    assert rows(apart) == want
+    engine.compact()
+    assert rows(engine.index.postings()) == want and engine.index.docs().count() == P.text_documents(docs).count()
+
+
+def test_segments_with_some_documents_again(spark, tmp_path, monkeypatch):
+    engine = Engine(spark, f"file://{tmp_path}/index", buckets=3)
+    batches = [texts(spark, 1), texts(spark, 2).filter("doc_id % 3 = 0 or doc_id is null"), texts(spark, 3).filter("doc_id < 9")]
+    for b in batches:
+        engine.add_documents(b, text_col="text")
+        engine.flush()
+    built = [P.build_postings(P.text_hits(b)).withColumn("batch", F.lit(n)) for n, b in enumerate(batches)]
+    want = rows(P.merge_postings(built[0].unionByName(built[1]).unionByName(built[2]), "batch"))
+    assert rows(engine.index.postings()) == want
+    monkeypatch.setattr(index, "MOST_IDS", 1)
+    assert rows(engine.index.postings()) == want
+    engine.compact()
+    assert rows(engine.index.postings()) == want
