@@ -164,8 +164,8 @@ class StoredIndex:
 
     def _merge(self, merged: list[str], purge_before: int | None = None) -> str:
         """Rewrite adjacent segments as one, in their place."""
-        postings = self.postings(segments=merged)
-        name = self.write(postings if purge_before is None else postings.filter(F.col("doc_id") >= purge_before))
+        kept = lambda df: df if purge_before is None else df.filter(F.col("doc_id") >= purge_before)
+        name = self.write(kept(self.postings(segments=merged)), docs=kept(self.docs(merged)))
         size = self.size(name)
 
         def change(m: Manifest) -> None:
