@@ -124,7 +124,9 @@ def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
         "tf": F.when(kind == 0, F.col("tf") + 1).otherwise(F.col("tf")), "sum_w": F.when(kind == 1, F.col("sum_w") + 1).otherwise(F.col("sum_w")),
         "hits": F.when(kind == 2, F.reverse("hits")).otherwise(F.col("hits")), "doc_size": F.when(kind == 3, F.col("sum_w") - 1).otherwise(F.col("doc_size")),
     })
-    return P.integrity_violations(bad.unionByName(good.filter(kind == 4)))
+    # twice in one pass over the documents
+    times = F.when(kind == 4, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return P.integrity_violations(bad.withColumn("time", F.explode(times)).drop("time"))
 
 
 _add(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spindex import Engine
 from spindex.operators import documents as D
 from spindex.operators import postings as P
+from spindex.queries import QUERIES
 from spindex.sources import index
 from tests.test_engine import WORDS
 
@@ -104,3 +105,9 @@ def test_segments_with_some_documents_again(spark, tmp_path, monkeypatch):
     assert rows(engine.index.postings()) == want
     engine.compact()
     assert rows(engine.index.postings()) == want
+
+
+def test_planted_faults_build_postings_once_a_use(spark, tmp_path):
+    texts(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    plan = QUERIES["integrity_violations"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2
